@@ -83,3 +83,26 @@ def with_running_max(
         .withColumn(out, F.greatest("__near", "__carry"))
         .drop("__near", "__carry", CHUNK)
     )
+
+
+def with_running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: str, out: str
+) -> DataFrame:
+    """Adds the sum of ``value`` over the rows up to and including this one. With no keys the second
+    window runs over one row per chunk of the whole table."""
+    rows = df.withColumn(CHUNK, chunk)
+    upto = (Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(*upto)
+    outer = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("__near", F.sum(value).over(inner))
+    sums = (
+        rows.groupBy(*keys, CHUNK)
+        .agg(F.sum(value).alias("__sum"))
+        .withColumn("__carry", F.sum("__sum").over(outer))
+        .drop("__sum")
+    )
+    return (
+        local.join(sums, [*keys, CHUNK], "left")
+        .withColumn(out, F.col("__near") + F.coalesce("__carry", F.lit(0)))
+        .drop("__near", "__carry", CHUNK)
+    )

@@ -19,7 +19,7 @@ from punctual.functions.histograms import (
     summed_counts,
 )
 from punctual.functions.names import clean_headsign, clean_stop_name
-from punctual.functions.timeutil import isodow, local_date, service_date, to_local, utc_date
+from punctual.functions.timeutil import local_date, service_date, to_local, utc_date
 from punctual.operators.live import of_version, stop_names, version_in_force
 from punctual.operators.marts import scored
 from punctual.operators.profile import grouping_sets, histogram, percentiles, unpacked, weighted_mean
@@ -601,6 +601,3 @@ def names_by_rule(t: Tables, as_of: datetime, cfg: Config = DEFAULT) -> DataFram
         "stop_name", stop_name_rule(F.col("stop_name")).alias("rule"), clean_stop_name(F.col("stop_name")).alias("shown")
     )
 
-
-def isodow_name(day: Column) -> Column:
-    return F.concat(F.lit("dow"), isodow(day).cast("string"))

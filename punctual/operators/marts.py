@@ -136,13 +136,19 @@ def lateness(t: Tables, as_of: datetime, cfg: Config = DEFAULT) -> DataFrame:
             F.lit("all"), F.col("weekday_type"), F.when(F.col("weekday_type") == "weekday", dow)
         )
     )
-    spans = F.array(
-        F.struct(F.lit("7d").alias("period"), F.lit(today - timedelta(days=6)).alias("since")),
-        F.struct(F.lit("30d").alias("period"), F.lit(today - timedelta(days=29)).alias("since")),
-        F.struct(F.lit("all").alias("period"), first.alias("since")),
+    def span(name: str, since: Column) -> Column:
+        covered = F.col("service_date") >= since
+        return F.when(covered, F.struct(F.lit(name).alias("period"), since.alias("since")))
+
+    spans = F.array_compact(
+        F.array(
+            span("7d", F.lit(today - timedelta(days=6))),
+            span("30d", F.lit(today - timedelta(days=29))),
+            span("all", first),
+        )
     )
     fanned = (
-        cells.withColumn("s", F.explode(F.filter(spans, lambda s: F.col("service_date") >= s["since"])))
+        cells.withColumn("s", F.explode(spans))
         .withColumn("days", F.explode(kinds))
         .select("*", "s.period", "s.since")
     )

@@ -458,3 +458,111 @@ class Fixtures(Mapping[str, DataFrame]):
             c: F.timestamp_micros(F.round(F.col(c).cast("double") * 1e6).cast("long")) for c in TIMES[name]
         }
         return df.withColumns(moments) if moments else df
+
+
+# --- raw inputs that are not tables: messages, log lines, downloads ---------------------------
+
+
+def _event_second(t: Mapping[str, DataFrame]) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return t["events"].select("*", us.alias("us"), F.floor(us / 1_000_000).alias("sec"))
+
+
+def messages(t: Mapping[str, DataFrame]) -> DataFrame:
+    """One decoded realtime message per event, with a vehicle, a trip update and sometimes an alert,
+    each missing a field here and there."""
+    from punctual.schemas import MESSAGE_DDL
+
+    ddl = "struct<" + MESSAGE_DDL.replace("header struct", "header:struct", 1).replace(
+        ",entity array", ",entity:array", 1
+    ) + ">"
+    vehicle = """named_struct('id', concat('e', event_id), 'vehicle', named_struct(
+        'vehicle', named_struct('id', if(event_id % 3 = 2, concat('bus', user_id), ''), 'label', if(event_id % 3 = 1, concat('label', user_id), '')),
+        'trip', named_struct('trip_id', if(event_id % 6 <> 0, concat('T', user_id), ''), 'start_date', '20240110'),
+        'position', if(event_id % 10 <> 0, named_struct('latitude', 44.0D + value / 100, 'longitude', -123.0D, 'bearing', if(event_id % 2 = 0, event_id % 360, null)), null),
+        'timestamp', if(event_id % 4 = 0, 0, sec - 5)))"""
+    stop = """transform(array(0, 1, 2), i -> named_struct(
+        'stop_sequence', if(i = 2 and event_id % 4 = 0, null, i + 1), 'stop_id', concat('S', (event_id + i) % 200),
+        'arrival', if(i <> 1, named_struct('time', sec + 60 * (i + 1), 'delay', if(event_id % 2 = 0, 15, null), 'scheduled_time', sec + 100), null),
+        'departure', if(i <> 0, named_struct('time', sec + 60 * (i + 1) + 20, 'scheduled_time', sec + 200), null)))"""
+    update = f"""named_struct('id', concat('u', event_id), 'trip_update', named_struct(
+        'trip', named_struct('trip_id', concat('T', user_id), 'route_id', concat('R', user_id % 20),
+                             'start_date', if(event_id % 5 = 0, '', '20240110'), 'schedule_relationship', 0),
+        'vehicle', named_struct('id', if(event_id % 3 = 2, concat('bus', user_id), ''), 'label', if(event_id % 3 = 1, concat('label', user_id), '')),
+        'timestamp', sec, 'stop_time_update', {stop}))"""
+    alert = """named_struct('id', concat('a', event_id % 40), 'alert', named_struct(
+        'header_text', named_struct('translation', array(named_struct('text', concat('Detour ', event_type))))))"""
+    entity = "concat_ws(',', to_json({0}), to_json({1}), if(event_id % 20 = 0, to_json({2}), null))".format(vehicle, update, alert)
+    text = f"concat('{{\"header\":{{\"timestamp\":', sec, '}},\"entity\":[', {entity}, ']}}')"
+    return _event_second(t).select(
+        (F.col("event_id") + 1).alias("fetch_id"),
+        F.timestamp_seconds("sec").alias("header_timestamp"),
+        F.from_json(F.expr(text), ddl).alias("message"),
+    )
+
+
+def alert_table(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Stored alerts: three per alerts message, with periods that have or have not ended."""
+    end = "if(j = 0, 1706400000, if(j = 1, 1709000000, null))"
+    payload = f"""to_json(named_struct('active_period', if(j = 2 and event_id % 2 = 0, null,
+        array(named_struct('start', 1704000000 + event_id % 100 * 3600, 'end', {end}))),
+        'header_text', named_struct('translation', array(named_struct('text', concat('Detour ', j)))),
+        'description_text', named_struct('translation', array(named_struct('text', event_type)))))"""
+    return (
+        t["events"]
+        .filter("event_id % 3 = 2")
+        .withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+        .select(
+            (F.col("event_id") + 1).alias("fetch_id"),
+            F.expr("concat('a', event_id % 4 * 3 + j)").alias("alert_id"),
+            F.expr(payload).alias("payload"),
+        )
+    )
+
+
+def log_lines(t: Mapping[str, DataFrame]) -> DataFrame:
+    """A web server's log: pages, parts of pages, bots, errors and lines that are not JSON."""
+    path = """case event_id % 5 when 0 then '/' when 1 then concat('/reports/route/', user_id % 20, '/')
+        when 2 then '/stops?stop=1' when 3 then '/static/main.js' else '/route' end"""
+    agent = "if(event_id % 13 = 0, 'Googlebot/2.1', 'Mozilla/5.0')"
+    referer = "case event_id % 7 when 0 then array('https://www.reddit.com/r/x') when 1 then array('https://x.com/route') end"
+    line = f"""to_json(named_struct('ts', us / 1e6D, 'status', if(event_id % 23 = 0, 500, if(event_id % 2 = 0, 200, 304)),
+        'request', named_struct('uri', {path}, 'method', if(event_id % 11 = 0, 'POST', 'GET'), 'host', 'www.x.com',
+        'headers', named_struct('User-Agent', array({agent}), 'Referer', {referer}))))"""
+    return _event_second(t).select(F.expr(f"if(event_type = 'error', concat('not json ', event_id), {line})").alias("value"))
+
+
+def page_hits(t: Mapping[str, DataFrame]) -> DataFrame:
+    agent = """case when event_id % 9 = 0 then 'Googlebot/2.1' when event_id % 9 < 4 then 'Mozilla/5.0 (Android) Mobi'
+        else 'Mozilla/5.0' end"""
+    return _event_second(t).select(
+        F.timestamp_micros("us").alias("viewed_at"),
+        F.expr("concat('s', user_id)").alias("session_id"),
+        F.col("event_type").alias("page"),
+        F.lit(None).cast("string").alias("detail"),
+        F.lit(None).cast("int").alias("load_ms"),
+        F.expr("concat('10.0.0.', user_id % 250)").alias("ip"),
+        F.expr(agent).alias("agent"),
+    )
+
+
+def salts(t: Mapping[str, DataFrame]) -> DataFrame:
+    day = F.to_date(F.timestamp_seconds(F.col("sec") - OFFSET))
+    return (
+        _event_second(t).select(day.alias("day")).distinct()
+        .withColumn("salt", F.concat(F.lit("salt-"), F.col("day").cast("string")))
+    )
+
+
+def raw_stop_times(t: Mapping[str, DataFrame]) -> DataFrame:
+    """stop_times.txt as read: all text, a byte-order mark on the first column, stray spaces, blanks."""
+    secs = "(18000 + (ok * 37) % 86400 + seq * 180)"
+    clock = f"concat(' ', cast({secs} div 3600 as string), ':', lpad(cast({secs} div 60 % 60 as string), 2, '0'), ':', lpad(cast({secs} % 60 as string), 2, '0'))"
+    return t["line"].select(
+        F.expr("concat('T', ok, ' ')").alias("﻿trip_id"),
+        F.expr(f"if(ln % 3 = 1, {clock}, '')").alias("arrival_time"),
+        F.expr("concat('S', ok % 200)").alias(" stop_id"),
+        F.expr("cast(seq as string)").alias("stop_sequence"),
+        F.expr("if(ln % 2 = 0, '1', '')").alias("timepoint"),
+        F.expr("if(ok % 2 = 0, cast(qty * 1.5D as string), ' ')").alias("shape_dist_traveled"),
+    )

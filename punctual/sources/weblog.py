@@ -32,7 +32,7 @@ def access_log(lines: DataFrame, as_of: datetime, days: int = 30, cfg: Config =
         lines.select(r.alias("r"))
         .filter(F.col("r.ts").isNotNull() & F.col("r.request").isNotNull())
         .select(
-            F.timestamp_micros((F.col("r.ts") * 1_000_000).cast("long")).alias("seen_at"),
+            F.timestamp_micros(F.round(F.col("r.ts") * 1_000_000).cast("long")).alias("seen_at"),
             F.when(path == "", "/").otherwise(path).alias("path"),
             F.col("r.request.method").alias("method"),
             F.col("r.status").alias("status"),

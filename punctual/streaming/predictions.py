@@ -90,7 +90,8 @@ def change_only(snapshots: DataFrame, idle: str | None = None) -> DataFrame:
             state.update(current)
             if idle:
                 state.setTimeoutDuration(idle)
-        yield _frame(out)
+        if out:
+            yield _frame(out)
 
     return snapshots.groupBy(*KEY).applyInPandasWithState(
         step,

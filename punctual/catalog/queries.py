@@ -15,18 +15,14 @@ from punctual.functions import bands, histograms, timeutil
 from punctual.operators import (
     arrivals,
     changes,
-    diagnostics,
     facts,
     geometry,
     history,
     ingest,
     live,
     marts,
-    quality,
     routes,
     schedule,
-    timetables,
-    visitors,
 )
 from punctual.session import shared_folder
 from punctual.sources import fixtures as fx

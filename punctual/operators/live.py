@@ -28,17 +28,22 @@ from punctual.functions.timeutil import (
     weekday_type,
 )
 from punctual.operators.geometry import place_on_stretch
-from punctual.operators.schedule import newest_version, timepoint_flag
+from punctual.operators.schedule import timepoint_flag
 
 Tables = Mapping[str, DataFrame]
 KEY = ["trip_id", "start_date", "stop_sequence"]
 
 
 def version_in_force(t: Tables, as_of: datetime, cfg: Config = DEFAULT) -> Column:
-    """The schedule version of today's service date, else the newest; one scalar subquery."""
+    """The schedule version of today's service date, else the newest, as a literal: one number read
+    from a table with a row per day, so that every scan after it prunes its version partitions when
+    the query is planned."""
     today = service_date(as_of, cfg.timezone, cfg.rollover_hours)
     by_date = t["feed_version_by_date"].filter(F.col("service_date") == F.lit(today))
-    return F.coalesce(by_date.agg(F.max("feed_version_id")).scalar(), newest_version(t))
+    found = by_date.agg(F.max("feed_version_id")).first()[0]
+    if found is None:
+        found = t["feed_version"].agg(F.max("feed_version_id")).first()[0]
+    return F.lit(found).cast("int")
 
 
 def of_version(df: DataFrame, fv: Column) -> DataFrame:
@@ -217,47 +222,39 @@ def next_stops(
         buses = hinted_stops(latest_reports(t, as_of), t).withColumn("hint_seq", F.col("p1.stop_sequence"))
     lines = t["shape_lines"] if lines is None else lines
     x, y = utm(F.col("longitude"), F.col("latitude"))
-    on_shape = (
+    usable = (
+        of_version(t["stop_shape_fractions"], fv)
+        .filter("is_usable")
+        .select("trip_id", F.struct(F.col("stop_sequence").alias("seq"), "stop_id", "frac").alias("s"))
+    )
+    # the fleet's trips select the stops; a bus carries its own trip's stops (tens of them) with it
+    on_trip = (
         buses.filter(F.col("trip_id").isNotNull())
         .select("vehicle_id", "trip_id", "start_date", "hint_seq", x.alias("x"), y.alias("y"))
         .join(of_version(t["trips"], fv).select("trip_id", "shape_id"), "trip_id")
+        .join(usable, "trip_id")
+        .groupBy("vehicle_id", "trip_id", "start_date", "hint_seq", "x", "y", "shape_id")
+        .agg(F.array_sort(F.collect_list("s")).alias("stops"))
         .join(of_version(lines, fv), "shape_id")
     )
-    k = F.row_number().over(Window.partitionBy("vehicle_id").orderBy("stop_sequence"))
-    stops = (
-        of_version(t["stop_shape_fractions"], fv)
-        .filter("is_usable")
-        .select("trip_id", "stop_sequence", "stop_id", "frac")
-    )
-    # a bus's own trip only: the fleet's trips select the stops
-    along = on_shape.select("vehicle_id", "trip_id", "hint_seq").join(stops, "trip_id").withColumn("k", k)
-    hint = (
-        along.filter(F.col("stop_sequence") >= F.col("hint_seq"))
-        .groupBy("vehicle_id")
-        .agg(F.min("k").alias("hint_k"))
-    )
-    stretch = (
-        along.join(hint, "vehicle_id")
-        .groupBy("vehicle_id")
-        .agg(
-            F.max(F.when(F.col("k") == F.col("hint_k") - 2, F.col("frac"))).alias("lo"),
-            F.max(F.when(F.col("k") == F.col("hint_k") + 2, F.col("frac"))).alias("hi"),
-        )
-    )
+    passed = F.size(F.filter("stops", lambda s: s["seq"] < F.col("hint_seq")))
+    hinted = F.col("hint_seq").isNotNull() & (passed < F.size("stops"))
+    at = lambda step: F.when(hinted & (passed + step >= 0), F.get("stops", passed + step)["frac"])
     placed = place_on_stretch(
-        on_shape.join(stretch, "vehicle_id", "left")
-        .withColumn("lo", F.coalesce("lo", F.lit(0.0)))
-        .withColumn("hi", F.coalesce("hi", F.lit(1.0)))
+        on_trip.withColumn("lo", F.coalesce(at(-2), F.lit(0.0)))
+        .withColumn("hi", F.coalesce(at(2), F.lit(1.0)))
         .withColumn("xs", F.transform("line", lambda p: p["x"]))
         .withColumn("ys", F.transform("line", lambda p: p["y"]))
-    ).select("vehicle_id", "trip_id", "start_date", "hint_seq", "bus_frac", "length_m")
-    n = F.row_number().over(Window.partitionBy("vehicle_id").orderBy("stop_sequence"))
+    ).select("vehicle_id", "trip_id", "start_date", "hint_seq", "bus_frac", "length_m", "stops")
     clear = F.col("bus_frac") + F.lit(cfg.next_stop_clearance_m) / F.nullif("length_m", F.lit(0.0))
     ahead_of = (
-        placed.join(along.select("vehicle_id", "stop_sequence", "stop_id", "frac"), "vehicle_id")
-        .filter(F.col("frac") > clear)
-        .withColumn("n", n)
-        .filter("n <= 2")
+        placed.withColumn("clear", clear)
+        .withColumn("two", F.slice(F.filter("stops", lambda s: s["frac"] > F.col("clear")), 1, 2))
+        .select("vehicle_id", "trip_id", "start_date", "hint_seq", "bus_frac", F.posexplode("two").alias("i", "s"))
+        .select(
+            "vehicle_id", "trip_id", "start_date", "hint_seq", "bus_frac", (F.col("i") + 1).alias("n"),
+            F.col("s.seq").alias("stop_sequence"), "s.stop_id", "s.frac",
+        )
     )
     timed = with_schedule(
         ahead_of.join(
@@ -291,8 +288,7 @@ def next_stops(
 # --- boards --------------------------------------------------------------------------------
 
 
-def _board_rows(t: Tables, as_of: datetime, lo: Column, hi: Column, cfg: Config, route_id: str | None) -> DataFrame:
-    fv = version_in_force(t, as_of, cfg)
+def _board_rows(t: Tables, fv: Column, lo: Column, hi: Column, route_id: str | None) -> DataFrame:
     rows = (
         t["prediction_current"]
         .withColumn("at", told())
@@ -311,7 +307,7 @@ def coming_up(t: Tables, as_of: datetime, cfg: Config = DEFAULT, route_id: str |
     minutes = cfg.board_all_min if route_id is None else cfg.board_route_min
     fv = version_in_force(t, as_of, cfg)
     now = lit_ts(as_of)
-    rows = _board_rows(t, as_of, ago(as_of, minutes=2), ahead(as_of, minutes=minutes), cfg, route_id)
+    rows = _board_rows(t, fv, ago(as_of, minutes=2), ahead(as_of, minutes=minutes), route_id)
     rows = rows.filter(F.col("last_seen_at") > ago(as_of, seconds=cfg.fresh_s)).filter(
         ~((F.col("at") < now) & has_left(F.col("at"), cfg))
     )
@@ -365,7 +361,7 @@ def just_left(t: Tables, as_of: datetime, cfg: Config = DEFAULT, route_id: str |
     minutes = cfg.board_all_min if route_id is None else cfg.board_route_min
     fv = version_in_force(t, as_of, cfg)
     names = stop_names(t, fv)
-    rows = _board_rows(t, as_of, ago(as_of, minutes=minutes), lit_ts(as_of), cfg, route_id)
+    rows = _board_rows(t, fv, ago(as_of, minutes=minutes), lit_ts(as_of), route_id)
     return (
         rows.filter(has_left(F.col("at"), cfg))
         .join(names, "stop_id", "left")

@@ -120,7 +120,7 @@ _add(
     "calendar_dates",
     """
 select cast(v as int) as feed_version_id, concat('C', k) as service_id,
-       date '2024-01-01' + cast(d as int) as date,
+       date '2024-01-01' + cast((v - 1) * 6 + d as int) as date,
        case when (v * 3 + k * 5 + d * 7) % 11 = 0 then 1 else 2 end as exception_type
 from (select distinct 1 + cast(floor((o_orderkey % 28) / 6) as bigint) as v, o_custkey % 14 as k, o_custkey % 31 as d from orders) x
 where (v * 3 + k * 5 + d * 7) % 11 in (0, 1)

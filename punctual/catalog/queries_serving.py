@@ -102,7 +102,7 @@ query("q23_route_stops", lambda t: timetables.route_stops(t, AS_OF, "R4"))
 query("q23_route_stops_numbered", lambda t: timetables.route_stops(t, AS_OF, "R4", 0))
 query("q24_representative_days", lambda t: timetables.representative_days(t, AS_OF))
 query("q25_stop_timetable", lambda t: timetables.stop_timetable(t, AS_OF, "S86"))
-query("q26_route_timetable", lambda t: timetables.route_timetable(t, AS_OF, "R4", 0))
+query("q26_route_timetable", lambda t: timetables.route_timetable(t, AS_OF, "R4", 0, "saturday"))
 
 # --- visitors ------------------------------------------------------------------------------
 

@@ -15,21 +15,19 @@ DAY_PARTS = (("morning", 9), ("midday", 15), ("afternoon", 19))
 DAY_PART_LAST = "evening"
 
 
-def _ladder(value: Column, rungs, last, compare) -> Column:
-    out = F.lit(last)
-    for label, bound in reversed(list(rungs)):
-        out = F.when(compare(value, bound), F.lit(label)).otherwise(out)
-    return out
-
-
 def horizon_band(minutes: Column) -> Column:
-    rungs = [(b, b) for b in HORIZON_BANDS]
-    known = _ladder(minutes, rungs, HORIZON_LAST, lambda v, b: v <= b)
-    return F.when(minutes.isNull(), F.lit(HORIZON_LAST)).otherwise(known)
+    out = F.when(minutes <= HORIZON_BANDS[0], HORIZON_BANDS[0])
+    for bound in HORIZON_BANDS[1:]:
+        out = out.when(minutes <= bound, bound)
+    return out.otherwise(HORIZON_LAST)
 
 
 def day_part(hour: Column) -> Column:
-    return _ladder(hour, DAY_PARTS, DAY_PART_LAST, lambda v, b: v < b)
+    (name, bound), *others = DAY_PARTS
+    out = F.when(hour < bound, name)
+    for name, bound in others:
+        out = out.when(hour < bound, name)
+    return out.otherwise(DAY_PART_LAST)
 
 
 def live_status(delay_s: Column, cfg) -> Column:

@@ -55,10 +55,18 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6)
 
 
+def micros_between(later: Column, earlier: Column) -> Column:
+    """Whole microseconds; for filters and bands that need no fractions of a second."""
+    return F.unix_micros(later) - F.unix_micros(earlier)
+
+
 def plus_seconds(ts: Column, secs: Column | float | int) -> Column:
-    """``ts`` moved by a (possibly fractional) number of seconds."""
-    delta = F.lit(secs) if not isinstance(secs, Column) else secs
-    return F.timestamp_micros(F.unix_micros(ts) + F.round(delta * F.lit(1e6)).cast("long"))
+    """``ts`` moved by a number of seconds, which may be a fractional column."""
+    if isinstance(secs, Column):
+        delta = F.round(secs * F.lit(1e6)).cast("long")
+    else:
+        delta = F.lit(round(secs * 1_000_000)).cast("long")
+    return F.timestamp_micros(F.unix_micros(ts) + delta)
 
 
 def round_int(x: Column) -> Column:

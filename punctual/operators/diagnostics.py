@@ -844,7 +844,8 @@ def storage_ratio(t: Tables, as_of: datetime) -> DataFrame:
     )
     # at one moment: starts come before the message, ends after it
     ends = (
-        rows.select(
+        rows.filter(F.col("first_seen_at") <= F.col("last_seen_at"))
+        .select(
             F.explode(
                 F.array(
                     F.struct(us("first_seen_at"), F.lit(0).alias("rank"), F.lit(-1).alias("sign")),

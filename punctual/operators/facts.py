@@ -13,6 +13,7 @@ from punctual.functions.timeutil import (
     floor_int,
     local_day,
     local_hour,
+    micros_between,
     plus_seconds,
     round_int,
     seconds_between,
@@ -151,6 +152,7 @@ def stop_events(t: Tables, as_of: datetime, cfg: Config = DEFAULT, start: date |
 def prediction_errors(t: Tables, cfg: Config = DEFAULT, start: date | None = None) -> DataFrame:
     """Every prediction made before the bus came and not absurdly far ahead, against the time scored
     for its stop. Positive error = the bus came later than predicted."""
+    second = 1_000_000
     made = (
         since_day(stg_predictions(t), start)
         .filter(F.col("predicted_time").isNotNull())
@@ -159,11 +161,12 @@ def prediction_errors(t: Tables, cfg: Config = DEFAULT, start: date | None = Non
             F.col("predicted_time").alias("predicted_arrival"),
             F.col("first_seen_at").alias("predicted_at"),
             F.col("last_seen_at").alias("predicted_until"),
+            micros_between(F.col("predicted_time"), F.col("first_seen_at")).alias("ahead_us"),
         )
-        # both bounds compare columns of the prediction alone, so they run before the join
+        # both bounds are about the prediction alone, so they run before the join
         .filter(
-            (F.col("predicted_arrival") > plus_seconds(F.col("predicted_at"), -cfg.prediction_slack_s))
-            & (F.col("predicted_arrival") < plus_seconds(F.col("predicted_at"), cfg.prediction_max_ahead_s))
+            (F.col("ahead_us") > -cfg.prediction_slack_s * second)
+            & (F.col("ahead_us") < cfg.prediction_max_ahead_s * second)
         )
     )
     came = (
@@ -179,7 +182,6 @@ def prediction_errors(t: Tables, cfg: Config = DEFAULT, start: date | None = Non
             F.col("scored_time").alias("observed_arrival"),
         )
     )
-    ahead = seconds_between(F.col("predicted_arrival"), F.col("predicted_at"))
     return (
         came.join(made, EVENT)
         .filter(F.col("predicted_at") < F.col("observed_arrival"))
@@ -188,8 +190,8 @@ def prediction_errors(t: Tables, cfg: Config = DEFAULT, start: date | None = Non
             "predicted_arrival",
             "predicted_at",
             "predicted_until",
-            round_int(ahead).alias("horizon_s"),
-            floor_int(ahead / 60).alias("horizon_min"),
+            round_int(F.col("ahead_us") / second).alias("horizon_s"),
+            floor_int(F.col("ahead_us") / (60 * second)).alias("horizon_min"),
             round_int(seconds_between(F.col("observed_arrival"), F.col("predicted_arrival"))).alias("error_s"),
             local_hour(F.col("predicted_at"), cfg.timezone).alias("hour_local"),
             weekday_type(F.col("service_date")).alias("weekday_type"),
@@ -202,7 +204,7 @@ def countdown_samples(t: Tables, cfg: Config = DEFAULT, start: date | None = Non
     prediction on display while it read that many minutes (the latest, if several did)."""
     e = since_day(t["prediction_errors"], start)
     shown_until = F.least(F.coalesce("predicted_until", "observed_arrival"), F.col("observed_arrival"))
-    reads = lambda moment: floor_int(seconds_between(F.col("predicted_arrival"), moment) / 60)
+    reads = lambda moment: floor_int(micros_between(F.col("predicted_arrival"), moment) / 60_000_000)
     lo = F.greatest(F.lit(1), reads(shown_until))
     hi = F.least(F.lit(cfg.countdown_max_min), reads(F.col("predicted_at")))
     kept = [
@@ -221,7 +223,9 @@ def countdown_samples(t: Tables, cfg: Config = DEFAULT, start: date | None = Non
         .select(*EVENT, "ahead_min", "s.*")
     )
     whole = F.max("ahead_min").over(Window.partitionBy(*EVENT)) == cfg.countdown_max_min
-    showing_at = plus_seconds(F.col("predicted_arrival"), F.col("ahead_min") * -60)
+    showing_at = F.timestamp_micros(
+        F.unix_micros("predicted_arrival") - F.col("ahead_min").cast("long") * 60_000_000
+    )
     return latest.select(
         *EVENT,
         "stop_id",

@@ -119,23 +119,30 @@ def trend_daily(t: Tables, start: date | None = None) -> DataFrame:
 def lateness(t: Tables, as_of: datetime, cfg: Config = DEFAULT) -> DataFrame:
     """Lateness for every combination of period, kind of day and level the pages ask for.
 
-    The events are first reduced to a histogram per day, route, stop, hour and second; only that is
-    fanned out over 3 periods, up to 2 more kinds of day, and 5 levels."""
+    Events are first reduced per level to day, second of delay and count, one plain hash aggregation
+    with a map-side combine. Only those rows are repeated for the 3 periods and up to 3 kinds of day
+    they belong to, so coarse levels repeat a few thousand rows per day whatever the traffic."""
     today = local_date(as_of, cfg.timezone)
     base = scored(t)
-    cells = histogram(
+    by = ["route_id", "hour_local", "stop_id", "route_short_name"]
+    levels = [[], ["hour_local"], ["route_id", by[3]], ["route_id", by[3], "hour_local"], ["stop_id", by[3]]]
+    fixed = ["service_date", "weekday_type", "delay_s"]
+    cells = grouping_sets(
         base,
-        ["service_date", "weekday_type", "route_id", "route_short_name", "stop_id", "hour_local"],
-        "delay_s",
-        **_status_counts(),
+        [[*fixed, *level] for level in levels],
+        [*fixed, *by],
+        F.grouping_id().alias("level"),
+        (F.grouping("route_id") == 0).alias("is_route"),
+        (F.grouping("stop_id") == 0).alias("is_stop"),
+        F.count(F.lit(1)).alias("n"),
+        *[c.alias(k) for k, c in _status_counts().items()],
     )
     first = base.agg(F.min("service_date")).scalar()
     dow = F.concat(F.lit("dow"), isodow(F.col("service_date")).cast("string"))
     kinds = F.array_compact(
-        F.array(
-            F.lit("all"), F.col("weekday_type"), F.when(F.col("weekday_type") == "weekday", dow)
-        )
+        F.array(F.lit("all"), F.col("weekday_type"), F.when(F.col("weekday_type") == "weekday", dow))
     )
+
     def span(name: str, since: Column) -> Column:
         covered = F.col("service_date") >= since
         return F.when(covered, F.struct(F.lit(name).alias("period"), since.alias("since")))
@@ -152,24 +159,21 @@ def lateness(t: Tables, as_of: datetime, cfg: Config = DEFAULT) -> DataFrame:
         .withColumn("days", F.explode(kinds))
         .select("*", "s.period", "s.since")
     )
-    fixed = ["period", "since", "days"]
-    levels = [[], ["hour_local"], ["route_id"], ["route_id", "hour_local"], ["stop_id"]]
-    out = grouping_sets(
-        fanned,
-        [[*fixed, *level] for level in levels],
-        [*fixed, "route_id", "hour_local", "stop_id"],
-        F.when(F.grouping("route_id") == 0, F.max("route_short_name")).alias("route_short_name"),
-        F.when(
-            F.grouping("stop_id") == 0,
-            F.array_join(F.array_sort(F.collect_set("route_short_name")), ", "),
-        ).alias("routes_here"),
+    names = F.col("route_short_name")
+    out = fanned.groupBy("period", "since", "days", "level", *by[:3]).agg(
+        F.max(F.when(F.col("is_route"), names)).alias("route_short_name"),
+        F.collect_set(F.when(F.col("is_stop"), names)).alias("here"),
+        F.bool_or("is_stop").alias("is_stop"),
         F.sum("n").alias("n"),
         *_status_sums(),
         percentiles(F.col("delay_s"), [0.5, 0.1, 0.9], F.col("n")).alias("p"),
         weighted_mean(F.abs("delay_s"), F.col("n")).alias("mean_abs_delay_s"),
         F.size(F.collect_set("service_date")).alias("n_days"),
     )
-    return unpacked(out, "p", ["median_delay_s", "p10_delay_s", "p90_delay_s"])
+    named = out.withColumn(
+        "routes_here", F.when(F.col("is_stop"), F.array_join(F.array_sort("here"), ", "))
+    ).drop("here", "is_stop", "level")
+    return unpacked(named, "p", ["median_delay_s", "p10_delay_s", "p90_delay_s"])
 
 
 def method_agreement(t: Tables, start: date | None = None) -> DataFrame:
@@ -177,7 +181,6 @@ def method_agreement(t: Tables, start: date | None = None) -> DataFrame:
     timepoints, where the feed's time is a measurement."""
     keys = ["service_date", "route_id", "route_short_name"]
     diff, far = F.col("methods_diff_s"), F.abs("methods_diff_s")
-    both = diff.isNotNull() & F.col("is_bounded")
     cells = histogram(
         since_day(t["stop_events"], start).filter("trip_had_realtime"),
         [*keys, "is_timepoint"],
@@ -189,7 +192,6 @@ def method_agreement(t: Tables, start: date | None = None) -> DataFrame:
     n, nb, tp = F.col("n"), F.col("n_bounded"), F.col("is_timepoint")
     total = lambda cond, c: F.coalesce(F.sum(F.when(cond, c)), F.lit(0))
     at_tp = lambda c: F.when(tp, c)
-    del both
     return (
         cells.groupBy(*keys)
         .agg(

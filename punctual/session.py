@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "punctual", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PUNCTUAL_DRIVER_MEMORY", "12g"))
     )
     for key, value in conf.items():

@@ -42,8 +42,10 @@ def _add(name: str, sql: str, times: str = "") -> None:
 
 _add(
     "line",
-    """
+    f"""
 select l_orderkey as ok,
+       l_orderkey % 28 as day,
+       {DAY0} + {OFFSET} + (l_orderkey % 28) * 86400 + 18000 + (l_orderkey * 37) % 57600 as starts,
        cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
             l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as bigint) as seq,
        cast(count(*) over (partition by l_orderkey) as bigint) as n_stops,
@@ -129,7 +131,7 @@ where (v * 3 + k * 5 + d * 7) % 11 in (0, 1)
 _add(
     "stop_times",
     """
-select cast(1 + floor((ok % 28) / 6) as int) as feed_version_id, concat('T', ok) as trip_id,
+select cast(1 + floor(day / 6) as int) as feed_version_id, concat('T', ok) as trip_id,
        cast(seq as int) as stop_sequence, concat('S', (ok % 10) * 20 + (seq + ok % 3) % 12) as stop_id,
        cast(case when ln % 3 = 1 and cents % 7 <> 0 then 18000 + (ok * 37) % 57600 + seq * 180 + cents % 60 end as int)
             as arrival_seconds,
@@ -155,12 +157,13 @@ from (select EXPLODE(1, 2, 3, 4, 5) as v, g, i
 
 # --- events along trips --------------------------------------------------------------------
 
-_SCHED = f"{DAY0} + {OFFSET} + (ok % 28) * 86400 + 18000 + (ok * 37) % 57600 + seq * 180"
+# a trip's start is worked out in ``line``, below its window, so that what is built on it stays short
+_SCHED = "(starts + seq * 180)"
 _add(
     "scheduled_stop_events",
     f"""
-select date '2024-01-01' + cast(ok % 28 as int) as service_date,
-       cast(1 + floor((ok % 28) / 6) as int) as feed_version_id,
+select date '2024-01-01' + cast(day as int) as service_date,
+       cast(1 + floor(day / 6) as int) as feed_version_id,
        concat('T', ok) as trip_id, concat('R', ok % 20) as route_id,
        cast(case when ok % 20 = 19 then null when ok % 40 >= 20 then 1 else 0 end as int) as direction_id,
        cast(seq as int) as stop_sequence, concat('S', (ok % 10) * 20 + (seq + ok % 3) % 12) as stop_id,
@@ -182,7 +185,7 @@ _add(
 select service_date, trip_id, stop_sequence, stop_id, route_id, direction_id, scheduled_arrival,
        is_timepoint, is_first_stop, is_last_stop, vehicle_id, scheduled_arrival + late as observed_arrival,
        uncertainty_s, is_bounded, late between -1800 and 5400 as is_plausible
-from (select date '2024-01-01' + cast(ok % 28 as int) as service_date, concat('T', ok) as trip_id,
+from (select date '2024-01-01' + cast(day as int) as service_date, concat('T', ok) as trip_id,
              cast(seq as int) as stop_sequence, concat('S', (ok % 10) * 20 + (seq + ok % 3) % 12) as stop_id,
              concat('R', ok % 20) as route_id,
              cast(case when ok % 20 = 19 then null when ok % 40 >= 20 then 1 else 0 end as int) as direction_id,
@@ -199,7 +202,7 @@ _add(
 select ok * 10 + seq as fetch_id, concat('V', ok % 70) as vehicle_id,
        {_SCHED} - 40 + cents % 30 as position_timestamp,
        case when cents % 41 = 0 then null else concat('T', ok) end as trip_id, concat('R', ok % 20) as route_id,
-       date '2024-01-01' + cast(ok % 28 as int) as start_date,
+       date '2024-01-01' + cast(day as int) as start_date,
        4.4e1 + (ok % 10) * 1.0e-2 + (cents % 7) * 1.0e-4 + case when cents % 23 = 0 then 1.0e-2 else 0 end as latitude,
        -1.231e2 + (seq + ok % 3) * 4.0e-3 + 1.0e-3 as longitude,
        cast(case when cents % 5 <> 0 then cents % 360 end as float) as bearing, cast(null as float) as speed_mps,
@@ -211,12 +214,12 @@ from FX(line) where ok % 9 <> 0
     "position_timestamp",
 )
 _PRED = f"""
-select ok, seq, cents, disc, k, {_SCHED} as sched,
+select ok, day, seq, cents, disc, k, {_SCHED} as sched,
        {_SCHED} - (k + 1) * 200 - cents % 60 as first_seen,
        {_SCHED} + cents % 901 - 260 + 30 * k as told
-from (select ok, seq, cents, disc, EXPLODE(0, 1, 2, 3, 4) as k from FX(line)) p
+from (select ok, day, starts, seq, cents, disc, EXPLODE(0, 1, 2, 3, 4) as k from FX(line)) p
 """
-_PRED_COLS = """concat('T', ok) as trip_id, date '2024-01-01' + cast(ok % 28 as int) as start_date,
+_PRED_COLS = """concat('T', ok) as trip_id, date '2024-01-01' + cast(day as int) as start_date,
        cast(seq as int) as stop_sequence, concat('S', (ok % 10) * 20 + (seq + ok % 3) % 12) as stop_id,
        case when seq % 3 = 0 then told end as arrival_time, case when seq % 3 <> 0 then told end as departure_time,
        cast(null as int) as arrival_delay, cast(case when cents % 29 = 0 then 45 end as int) as departure_delay,
@@ -300,7 +303,7 @@ from (select event_id, user_id, value, EPOCH_US(ts) as us from events) x
 _add(
     "positions_along_shape",
     f"""
-select concat('T', ok) as trip_id, date '2024-01-01' + cast(ok % 28 as int) as service_date,
+select concat('T', ok) as trip_id, date '2024-01-01' + cast(day as int) as service_date,
        concat('V', ok % 2) as vehicle_id, {_SCHED} + cents % 120 as ts,
        (seq + (cents % 12) / 1.0e1) / (n_stops + 1.0e0) as frac, (cents % 130) * 1.0e0 as off_route_m
 from FX(line)
@@ -310,7 +313,7 @@ from FX(line)
 _add(
     "stop_shape_fractions",
     """
-select cast(1 + floor((ok % 28) / 6) as int) as feed_version_id, concat('T', ok) as trip_id,
+select cast(1 + floor(day / 6) as int) as feed_version_id, concat('T', ok) as trip_id,
        cast(seq as int) as stop_sequence, concat('S', (ok % 10) * 20 + (seq + ok % 3) % 12) as stop_id,
        concat('P', ok % 10) as shape_id, seq / (n_stops + 1.0e0) as frac, (qty % 70) * 1.0e0 as dist_to_shape_m,
        qty % 70 < 48 as is_usable
@@ -336,7 +339,7 @@ select service_date, trip_id, stop_sequence, stop_id, route_id, route_short_name
 from (select y.*, is_bounded and is_plausible and not is_doubtful and uncertainty_s <= 120 as ok_gps,
              (is_timepoint or is_first_stop) and feed_settled_time is not null and feed_settled_time > observed_arrival
                  as settled_wins
-      from (select date '2024-01-01' + cast(ok % 28 as int) as service_date, (ok % 28) % 7 as dow,
+      from (select date '2024-01-01' + cast(day as int) as service_date, day % 7 as dow,
                    concat('T', ok) as trip_id, cast(seq as int) as stop_sequence,
                    concat('S', (ok % 10) * 20 + (seq + ok % 3) % 12) as stop_id, concat('R', ok % 20) as route_id,
                    case when ok % 20 = 18 then 'Loop' else concat('', ok % 20 + 1) end as route_short_name,
@@ -454,9 +457,14 @@ class Fixtures(Mapping[str, DataFrame]):
         for b in tables:
             text = re.sub(rf"\bfrom {b}\b", f"from {{{b}}}", text)
         df = self.spark.sql(text, **tables)
-        moments = {
-            c: F.timestamp_micros(F.round(F.col(c).cast("double") * 1e6).cast("long")) for c in TIMES[name]
-        }
+        kinds = dict(df.dtypes)
+
+        def moment(c: str):
+            if kinds[c] in ("int", "bigint"):
+                return F.timestamp_seconds(F.col(c))
+            return F.timestamp_micros(F.round(F.col(c).cast("double") * 1e6).cast("long"))
+
+        moments = {c: moment(c) for c in TIMES[name]}
         return df.withColumns(moments) if moments else df
 
 

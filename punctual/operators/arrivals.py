@@ -28,8 +28,9 @@ def observed_arrivals(
     """When each bus reached each stop: the moment its furthest place along the shape stepped past
     the stop, on a straight line between the two reports.
 
-    The running maximum and the previous report are chunked by time inside (trip, day), and the step
-    that crosses a stop is found by an equality on (trip, day) with the fraction range on top."""
+    The running maximum and the previous report are chunked by time inside (trip, day). Steps and
+    stops then form one list per trip and day, from the far end of the line back: the step that passes
+    a stop is the last one met before it, so each row is looked at once and no pairs are formed."""
     key = ["trip_id", "service_date"]
     today = F.lit(utc_date(as_of))
     chunk = time_chunk(F.col("ts"), cfg.chunk_s)
@@ -39,50 +40,49 @@ def observed_arrivals(
     )
     reached = with_running_max(on_route, key, order, chunk, "frac", "frac_hi")
     steps = with_previous(reached, key, order, chunk, ["ts", "frac_hi"])
-    crossings = steps.filter(
-        F.col("frac_hi") > F.coalesce(F.col("prev.frac_hi"), F.lit(-1.0))
-    ).select(
-        *key,
+    step = F.struct(
         "vehicle_id",
         F.col("ts").alias("ts_hi"),
         "frac_hi",
         F.col("prev.ts").alias("ts_lo"),
         F.col("prev.frac_hi").alias("frac_lo"),
     )
+    crossings = steps.filter(
+        F.col("frac_hi") > F.coalesce(F.col("prev.frac_hi"), F.lit(-1.0))
+    ).select(*key, F.col("frac_hi").alias("at"), F.lit(0).alias("rank"), step.alias("step"))
     usable = t["stop_shape_fractions"].filter("is_usable").select(
         "feed_version_id", "trip_id", "stop_sequence", "frac"
     )
+    fields = [
+        "stop_sequence", "stop_id", "route_id", "direction_id", "scheduled_arrival", "is_timepoint",
+        "is_first_stop", "is_last_stop",
+    ]
     due = (
         since_day(t["scheduled_stop_events"], start)
         .filter(F.col("service_date") <= today)
         .join(usable, ["feed_version_id", "trip_id", "stop_sequence"])
+        .select(*key, F.col("frac").alias("at"), F.lit(1).alias("rank"), F.struct(*fields).alias("stop"))
     )
-    share = (F.col("frac") - F.col("frac_lo")) / (F.col("frac_hi") - F.col("frac_lo"))
-    gap = seconds_between(F.col("ts_hi"), F.col("ts_lo"))
-    bounded = F.col("ts_lo").isNotNull()
-    matched = (
-        due.join(crossings, key)
-        .filter(
-            (F.col("frac") > F.coalesce(F.col("frac_lo"), F.lit(-1.0))) & (F.col("frac") <= F.col("frac_hi"))
-        )
-        .select(
-            "service_date",
-            "trip_id",
-            "stop_sequence",
-            "stop_id",
-            "route_id",
-            "direction_id",
-            "scheduled_arrival",
-            "is_timepoint",
-            "is_first_stop",
-            "is_last_stop",
-            "vehicle_id",
-            F.when(bounded, plus_seconds(F.col("ts_lo"), gap * share))
-            .otherwise(F.col("ts_hi"))
-            .alias("observed_arrival"),
-            F.when(bounded, gap / 2).alias("uncertainty_s"),
-            bounded.alias("is_bounded"),
-        )
+    # a step that ends exactly at a stop passes it, so at one place steps come first
+    backwards = Window.partitionBy(*key).orderBy(F.col("at").desc(), "rank")
+    passed = F.last("step", True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+    listed = due.unionByName(crossings, allowMissingColumns=True).withColumn("c", passed)
+    share = (F.col("at") - F.col("c.frac_lo")) / (F.col("c.frac_hi") - F.col("c.frac_lo"))
+    gap = seconds_between(F.col("c.ts_hi"), F.col("c.ts_lo"))
+    bounded = F.col("c.ts_lo").isNotNull()
+    matched = listed.filter(
+        F.col("stop").isNotNull()
+        & F.col("c").isNotNull()
+        & (F.col("at") > F.coalesce(F.col("c.frac_lo"), F.lit(-1.0)))
+    ).select(
+        *key,
+        "stop.*",
+        "c.vehicle_id",
+        F.when(bounded, plus_seconds(F.col("c.ts_lo"), gap * share))
+        .otherwise(F.col("c.ts_hi"))
+        .alias("observed_arrival"),
+        F.when(bounded, gap / 2).alias("uncertainty_s"),
+        bounded.alias("is_bounded"),
     )
     late = seconds_between(F.col("observed_arrival"), F.col("scheduled_arrival"))
     return matched.withColumn(

@@ -391,11 +391,12 @@ def daily_scores(t: Tables) -> DataFrame:
 
 def _between_timepoints(events: DataFrame) -> DataFrame:
     """Each event with the timepoints before and after it on its trip (strictly)."""
-    trip = Window.partitionBy("service_date", "trip_id").orderBy("stop_sequence")
+    trip = Window.partitionBy("service_date", "trip_id")
+    strictly = (Window.unboundedPreceding, -1)
     tp = F.when(F.col("is_timepoint"), F.struct("delay_s", "time_source", "scheduled_arrival"))
-    return events.withColumn(
-        "a", F.last(tp, True).over(trip.rowsBetween(Window.unboundedPreceding, -1))
-    ).withColumn("b", F.first(tp, True).over(trip.rowsBetween(1, Window.unboundedFollowing)))
+    before = trip.orderBy("stop_sequence").rowsBetween(*strictly)
+    after = trip.orderBy(F.col("stop_sequence").desc()).rowsBetween(*strictly)
+    return events.withColumn("a", F.last(tp, True).over(before)).withColumn("b", F.last(tp, True).over(after))
 
 
 def timepoint_bump(t: Tables, as_of: datetime, days: int = 3, by_source: bool = False) -> DataFrame:

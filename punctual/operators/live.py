@@ -93,17 +93,16 @@ def with_schedule(df: DataFrame, t: Tables) -> DataFrame:
 
 
 def with_next(candidates: DataFrame, predictions: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
-    """Adds a struct ``nx`` with ``fields`` of the trip's next stop after each candidate row."""
-    later = predictions.select(
-        "trip_id", "start_date", F.col("stop_sequence").alias("x_seq"),
-        F.struct(*[c.alias(n) for n, c in fields.items()]).alias("x"),
+    """Adds a struct ``nx`` with ``fields`` of the trip's next stop after each candidate row. The
+    candidates' trips select the rows; each is then looked at once, next to its successor."""
+    trip = ["trip_id", "start_date"]
+    after = F.lead(F.struct(*[c.alias(n) for n, c in fields.items()])).over(
+        Window.partitionBy(*trip).orderBy("stop_sequence")
     )
     nearest = (
-        candidates.select(*KEY)
-        .join(later, ["trip_id", "start_date"])
-        .filter(F.col("x_seq") > F.col("stop_sequence"))
-        .groupBy(*KEY)
-        .agg(F.min_by("x", "x_seq").alias("nx"))
+        predictions.join(candidates.select(*trip).distinct(), trip, "left_semi")
+        .withColumn("nx", after)
+        .select(*KEY, "nx")
     )
     return candidates.join(nearest, KEY, "left")
 

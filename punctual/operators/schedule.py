@@ -181,13 +181,16 @@ def stop_times_filled(t: Tables) -> DataFrame:
         F.coalesce("arrival_seconds", "departure_seconds").alias("known"),
         F.col("shape_dist_traveled").alias("dist"),
     )
-    trip = Window.partitionBy("feed_version_id", "trip_id").orderBy("stop_sequence")
-    upto = trip.rowsBetween(Window.unboundedPreceding, 0)
-    onward = trip.rowsBetween(0, Window.unboundedFollowing)
-    numbered = st.withColumn("rn", F.row_number().over(trip))
+    trip = Window.partitionBy("feed_version_id", "trip_id")
+    forward = trip.orderBy("stop_sequence")
+    # the nearest known stop ahead is the last one met coming from the other end: both windows run
+    # over a growing frame, so a trip's rows are read once each way
+    backward = trip.orderBy(F.col("stop_sequence").desc())
+    growing = (Window.unboundedPreceding, 0)
+    numbered = st.withColumn("rn", F.row_number().over(forward))
     anchor = F.when(F.col("known").isNotNull(), F.struct("rn", "known", "dist"))
-    a = numbered.withColumn("a", F.last(anchor, True).over(upto)).withColumn(
-        "b", F.first(anchor, True).over(onward)
+    a = numbered.withColumn("a", F.last(anchor, True).over(forward.rowsBetween(*growing))).withColumn(
+        "b", F.last(anchor, True).over(backward.rowsBetween(*growing))
     )
     gap = F.col("b.known") - F.col("a.known")
     measured = (

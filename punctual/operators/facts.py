@@ -14,7 +14,6 @@ from punctual.functions.timeutil import (
     local_day,
     local_hour,
     micros_between,
-    plus_seconds,
     round_int,
     seconds_between,
     service_date,

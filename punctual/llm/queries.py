@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import simhash
+from punctual.llm import packing, simhash, warc
 from punctual.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,29 @@ def query(name: str):
     return put
 
 
+@query("op3_warc_capture_index")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(read(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_warc_capture_index"] = """
+with payloads as (select page_id, coalesce(html, '') as html from pages),
+sized as (select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest from payloads),
+held as (
+  select payload_digest, max(page_id) as response from sized where payload_bytes >= 1000 group by payload_digest
+)
+select s.page_id, s.payload_bytes, s.payload_digest,
+  case when h.response > s.page_id then 'revisit' else 'response' end as record_type,
+  case when h.response > s.page_id then h.response end as refers_to
+from sized s left join held h on h.payload_digest = s.payload_digest and s.payload_bytes >= 1000
+"""
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op7_simhash_near_duplicates")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))

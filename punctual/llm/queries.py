@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import langid, packing, simhash, tokencount, warc
+from punctual.llm import langid, packing, simhash, substring, tokencount, warc
 from punctual.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_near_duplicates")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(read(spark, sf_dir, "documents"))

@@ -61,6 +61,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read(spark, sf_dir, "documents"))
 
 
+@query("op6_context_mixing_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(read(spark, sf_dir, "documents"))
+
+
 @query("op7_simhash_near_duplicates")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))

@@ -71,6 +71,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op8_posting_list_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spann.search(read(spark, sf_dir, "embeddings"))
+
+
+@query("op9_one_permutation_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_edits(read(spark, sf_dir, "documents"))
+
+
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents"))

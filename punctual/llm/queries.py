@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from punctual.llm import langid, mixing, packing, simhash, substring, tokencount, warc
+from punctual.llm import langid, lmscore, minhash, mixing, packing, simhash, spann, substring, tokencount, warc
 from punctual.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -41,22 +41,25 @@ def summed_counts(when: Column | None = None, names=None) -> list[Column]:
 
 
 def _read_off(share: float, n: Column, points: list[tuple[float, Column]], floor, ceiling: float) -> Column:
-    """Straight line between neighbouring thresholds at the first one that reaches the share."""
+    """Straight line between neighbouring thresholds at the first one that reaches the share.
+
+    The counts are one array; an index into it and its neighbour are all that the expression needs, so its
+    size does not go with the number of thresholds."""
     want = F.lit(float(share)) * n.cast("double")
-    out = F.lit(float(ceiling))
-    for i in range(len(points) - 1, -1, -1):
-        t, count = points[i]
-        here = F.coalesce(count.cast("double"), F.lit(0.0))
-        if i == 0 and floor is None:
-            value = F.lit(float(t))
-        else:
-            t0, c0 = points[i - 1] if i else floor
-            before = F.coalesce(c0.cast("double"), F.lit(0.0))
-            value = F.when(here == before, F.lit(float(t if floor is None else t0))).otherwise(
-                F.lit(float(t0)) + (want - before) / (here - before) * F.lit(float(t - t0))
-            )
-        out = F.when(here >= want, value).otherwise(out)
-    return out
+    times = F.array(*[F.lit(float(t)) for t, _ in points])
+    counts = F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for _, c in points])
+
+    def value(first: Column) -> Column:
+        here, t = F.get(counts, first), F.get(times, first)
+        before = F.when(first > 0, F.get(counts, first - 1)).otherwise(F.lit(0.0))
+        t0 = F.when(first > 0, F.get(times, first - 1)).otherwise(F.lit(float(floor[0] if floor else 0)))
+        line = F.when(here == before, t if floor is None else t0).otherwise(t0 + (want - before) / (here - before) * (t - t0))
+        return line if floor else F.when(first == 0, t).otherwise(line)
+
+    reached = F.filter(F.transform(counts, lambda c, i: F.when(c >= want, i)), lambda i: i.isNotNull())
+    # computed once, then used at several places
+    read = F.transform(F.array(F.get(reached, F.lit(0))), value)
+    return F.when(F.size(reached) > 0, F.get(read, F.lit(0))).otherwise(F.lit(float(ceiling)))
 
 
 def signed_percentile(share: float, n: Column | None = None, get=F.col) -> Column:

@@ -63,7 +63,7 @@ def _lookup(key: Column, table: dict[str, str], otherwise: Column) -> Column:
 
 
 def _capitalised(word: Column) -> Column:
-    return F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, 2, 1_000_000)))
+    return F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substr(word, F.lit(2))))
 
 
 def _words(text: Column) -> Column:

@@ -35,15 +35,12 @@ KEY = ["trip_id", "start_date", "stop_sequence"]
 
 
 def version_in_force(t: Tables, as_of: datetime, cfg: Config = DEFAULT) -> Column:
-    """The schedule version of today's service date, else the newest, as a literal: one number read
-    from a table with a row per day, so that every scan after it prunes its version partitions when
-    the query is planned."""
+    """The schedule version of today's service date, else the newest, as a scalar subquery: no job runs
+    while a query is built, and scans prune their version partitions when the number is known."""
     today = service_date(as_of, cfg.timezone, cfg.rollover_hours)
     by_date = t["feed_version_by_date"].filter(F.col("service_date") == F.lit(today))
-    found = by_date.agg(F.max("feed_version_id")).first()[0]
-    if found is None:
-        found = t["feed_version"].agg(F.max("feed_version_id")).first()[0]
-    return F.lit(found).cast("int")
+    newest = t["feed_version"].agg(F.max("feed_version_id")).scalar()
+    return F.coalesce(by_date.agg(F.max("feed_version_id")).scalar(), newest).cast("int")
 
 
 def of_version(df: DataFrame, fv: Column) -> DataFrame:
@@ -351,7 +348,6 @@ def coming_up(t: Tables, as_of: datetime, cfg: Config = DEFAULT, route_id: str |
             "median_delay_s",
         )
         .orderBy("trip_id", "stop_sequence")
-        .limit(2000)
     )
 
 
@@ -385,7 +381,6 @@ def just_left(t: Tables, as_of: datetime, cfg: Config = DEFAULT, route_id: str |
             F.col("nx.next_time").alias("next_time"),
         )
         .orderBy(F.col("departed").desc(), "trip_id", "stop_sequence")
-        .limit(500)
     )
 
 

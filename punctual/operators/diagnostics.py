@@ -680,7 +680,7 @@ def prediction_check(t: Tables) -> DataFrame:
         F.array_compact(
             F.array(
                 F.struct(F.col("ahead_min").alias("m"), F.col("error_s").alias("e")),
-                F.when(F.col("ahead_min") == 15, F.struct(F.lit(None).cast("int").alias("m"), F.col("schedule_error_s").alias("e"))),
+                F.when(F.col("ahead_min") == DEFAULT.countdown_max_min, F.struct(F.lit(None).cast("int").alias("m"), F.col("schedule_error_s").alias("e"))),
             )
         )
     )
@@ -716,9 +716,9 @@ def prediction_avg_by_route(t: Tables) -> DataFrame:
         .join(names, "route_id")
         .groupBy("route")
         .agg(
-            F.round(F.avg(at(15, "schedule_error_s"))).alias("timetable_s"),
+            F.round(F.avg(at(DEFAULT.countdown_max_min, "schedule_error_s"))).alias("timetable_s"),
             *[F.round(F.avg(at(m, "error_s"))).alias(f"at_{m}_s") for m in (1, 5, 10, 15)],
-            F.count_if(F.col("ahead_min") == 15).alias("arrivals"),
+            F.count_if(F.col("ahead_min") == DEFAULT.countdown_max_min).alias("arrivals"),
         )
     )
 

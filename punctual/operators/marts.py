@@ -286,7 +286,7 @@ def _told(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.lit("sign").alias("basis"), F.col("ahead_min").alias("told_min"), F.col("error_s").alias("err")
     )
     timetable = F.when(
-        F.col("ahead_min") == 15,
+        F.col("ahead_min") == DEFAULT.countdown_max_min,
         F.struct(
             F.lit("timetable").alias("basis"),
             F.lit(None).cast("int").alias("told_min"),

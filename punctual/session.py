@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +43,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once a session: functions that run there import it by name."""
+    if spark.conf.get("punctual.shipped", None):
+        return
+    root = Path(__file__).resolve().parent
+    # the driver serves this file to executors for as long as the session lives
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='punctual-')}/punctual", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("punctual.shipped", "yes")
+
+
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="punctual-")

@@ -99,15 +99,19 @@ def read_gtfs(spark: SparkSession, folder: str, fv: int) -> dict[str, DataFrame]
     names = file_names(spark, folder)
     check_complete(names)
     return {
-        table: typed(table, _csv(spark, folder, name), fv)
+        table: typed(table, _csv(spark, folder, name, table in QUOTED), fv)
         for table, name in FILES.items()
         if name in names
     }
 
 
-def _csv(spark: SparkSession, folder: str, name: str) -> DataFrame:
+# small tables whose free text may hold line breaks; the others have none and can be split
+QUOTED = ("agency", "routes", "stops", "feed_info")
+
+
+def _csv(spark: SparkSession, folder: str, name: str, lines_in_quotes: bool = False) -> DataFrame:
     return spark.read.csv(
-        f"{folder.rstrip('/')}/{name}", header=True, inferSchema=False, quote='"', escape='"', multiLine=True
+        f"{folder.rstrip('/')}/{name}", header=True, inferSchema=False, quote='"', escape='"', multiLine=lines_in_quotes
     )
 
 

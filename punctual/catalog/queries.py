@@ -134,18 +134,21 @@ def as_arrived(t: Tables) -> DataFrame:
 query("s16_prediction_intervals_as_arrived", as_arrived)
 
 
-def streamed(t: Tables) -> DataFrame:
-    """The streaming form over the same events: files in, closed intervals out, until none are left."""
-    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    schema = t["events"].schema
-    source = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+def snapshots_of(events: DataFrame) -> DataFrame:
     second = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
-    snapshots = source.select(
+    return events.select(
         F.expr("concat('U', user_id)").alias("trip_id"), F.to_date("ts").alias("start_date"),
         (F.col("event_id") % 5).cast("int").alias("stop_sequence"), F.col("event_id").alias("fetch_id"),
         F.timestamp_seconds(second).alias("header_timestamp"),
         F.expr("cast(if(event_id % 11 = 0, null, floor(value / 40)) as int)").alias("told"),
         F.expr("concat('S', event_id % 5)").alias("stop_id"), F.timestamp_seconds(second + 600).alias("scheduled_time"))
+
+
+def streamed(t: Tables) -> DataFrame:
+    """The streaming form over the same events: files in, closed intervals out, until none are left."""
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    schema = t["events"].schema
+    snapshots = snapshots_of(t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder))
     closed = streaming.change_only(streaming.encode(snapshots, SNAPSHOT_VALUE))
     streaming.run_available(closed, f"{folder}/out", f"{folder}/checkpoint")
     rows = t.spark.read.schema(streaming.CLOSED).parquet(f"{folder}/out")
@@ -153,6 +156,22 @@ def streamed(t: Tables) -> DataFrame:
 
 
 query("s16_prediction_intervals_stream", streamed)
+STORED_RUN = ("trip_id string, start_date date, stop_sequence int, stop_id string, told int, scheduled_time timestamp, "
+              "first_seen_at timestamp, last_seen_at timestamp, first_fetch_id long, closed_at timestamp")
+
+
+def stored_stream(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Current and history of the same events, arriving in four batches out of header order."""
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    for k in range(4):
+        t["events"].filter(F.col("event_id") % 4 == k).write.mode("append").parquet(f"{folder}/in")
+        source = t.spark.readStream.schema(t["events"].schema).parquet(f"{folder}/in")
+        streaming.store_intervals(snapshots_of(source), folder, f"{folder}/checkpoint", SNAPSHOT_VALUE)
+    return streaming.stored_intervals(t.spark, folder, STORED_RUN)
+
+
+query("s16_current_stored_stream", lambda t: stored_stream(t)[0].withColumn("closed_at", F.lit(None).cast("timestamp")).select(*RUN_COLUMNS))
+query("s16_history_stored_stream", lambda t: stored_stream(t)[1].select(*RUN_COLUMNS))
 query("s17_current_after_close_out", lambda t: ingest.close_out(t["prediction_current"], t["prediction_history"], AS_OF)[0])
 query("s17_history_after_close_out", lambda t: ingest.close_out(t["prediction_current"], t["prediction_history"], AS_OF)[1])
 query("s18_kept_positions", lambda t: ingest.drop_before(t, date(2024, 1, 10))["vehicle_position"].groupBy("start_date").agg(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from punctual.operators.changes import KEY
+from punctual.operators.changes import KEY, intervals
 
 
 def new_messages(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -51,8 +51,9 @@ def change_only(snapshots: DataFrame, idle: str | None = None) -> DataFrame:
     State per trip's stop: the value being asserted and since when. A message not newer than the last
     one the key took is ignored, whatever order messages arrive in. An interval is emitted when a
     different value replaces it; with ``idle``, also when the key has been silent that long (its trip
-    is over), which frees the state. Batches of one key arrive in pieces, so a hot key never has to fit
-    in memory at once; within a trigger rows are put in header order piece by piece."""
+    is over), which frees the state. Within a trigger all rows of a key (one stop of one trip) are put in
+    header order, whatever pieces they come in; ``store_intervals`` does the same on plain tables, keeps
+    the current half too, and splits a key of any length."""
 
     def step(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         trip, day, seq = key
@@ -68,24 +69,20 @@ def change_only(snapshots: DataFrame, idle: str | None = None) -> DataFrame:
             yield _frame(out)
             return
         current = state.get if state.exists else None
-        for piece in pieces:
-            piece = piece.sort_values("header_us", kind="stable")
-            for told, header, carried, fetch in zip(
-                piece["told"], piece["header_us"], piece["scheduled_us"], piece["fetch_id"]
-            ):
-                header, fetch = int(header), int(fetch)
-                carried = None if pd.isna(carried) else int(carried)
-                if current is None:
+        piece = pd.concat(list(pieces)).sort_values(["header_us", "fetch_id"], kind="stable")
+        for told, header, carried, fetch in zip(
+            piece["told"], piece["header_us"], piece["scheduled_us"], piece["fetch_id"]
+        ):
+            header, fetch = int(header), int(fetch)
+            carried = None if pd.isna(carried) else int(carried)
+            if current is None:
+                current = (told, header, header, fetch, carried)
+            elif header > current[2]:
+                if told == current[0]:
+                    current = (told, current[1], header, current[3], carried)
+                else:
+                    close(current, header)
                     current = (told, header, header, fetch, carried)
-                elif header > current[2]:
-                    if told == current[0]:
-                        current = (told, current[1], header, current[3], carried)
-                    else:
-                        close(current, header)
-                        current = (told, header, header, fetch, carried)
-            if len(out) >= 10_000:
-                yield _frame(out)
-                out.clear()
         if current is not None:
             state.update(current)
             if idle:
@@ -102,6 +99,48 @@ def change_only(snapshots: DataFrame, idle: str | None = None) -> DataFrame:
     )
 
 
+def store_intervals(stream: DataFrame, folder: str, checkpoint: str, value: list[str], carried: tuple[str, ...] = ("scheduled_time",)) -> None:
+    """Process all snapshots there are into ``current`` and ``history`` tables, micro-batch by micro-batch.
+
+    A batch takes the stored current rows of the keys it speaks of as messages already seen, runs the batch
+    operator over both, and writes what is closed now and what is current now under its own number. A
+    batch that is run again overwrites its own folders, so a restart doubles nothing. Messages not newer
+    than the last one a key took in an earlier batch change nothing; within a batch header order counts."""
+    spark = stream.sparkSession
+
+    def batch(snapshots: DataFrame, number: int) -> None:
+        rows = snapshots.select(*KEY, *value, *carried, "header_timestamp", "fetch_id")
+        before = spark.read.parquet(f"{folder}/current/batch={number - 1}") if number else None
+        if before is not None:
+            known = before.join(rows.select(*KEY).distinct(), KEY, "left_semi")
+            rows = rows.join(known.select(*KEY, "last_seen_at"), KEY, "left")
+            rows = rows.filter(F.col("last_seen_at").isNull() | (F.col("header_timestamp") > F.col("last_seen_at"))).drop("last_seen_at")
+        told = F.struct(*value, *carried, "fetch_id")
+        rows = rows.groupBy(*KEY, "header_timestamp").agg(F.min_by(told, "fetch_id").alias("told"))
+        rows = rows.select(*KEY, "told.*", "header_timestamp")
+        if before is not None:
+            ends = F.explode(F.array_distinct(F.array("first_seen_at", "last_seen_at")))
+            seen = known.select(*KEY, *value, *carried, F.col("first_fetch_id").alias("fetch_id"), ends.alias("header_timestamp"))
+            rows = rows.unionByName(seen)
+        runs = intervals(rows, value=value, carried=carried)
+        closed, open_ = runs.filter("closed_at is not null"), runs.filter("closed_at is null").drop("closed_at")
+        if before is not None:
+            open_ = open_.unionByName(before.join(known.select(*KEY), KEY, "left_anti"))
+        closed.write.mode("overwrite").parquet(f"{folder}/history/batch={number}")
+        open_.write.mode("overwrite").parquet(f"{folder}/current/batch={number}")
+
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def stored_intervals(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(current, history) as the last batch left them; ``schema`` is that of the history."""
+    history = spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/history")
+    current = spark.read.schema(f"{schema.rpartition(', ')[0]}, batch int").parquet(f"{folder}/current")
+    last = current.agg(F.max("batch")).scalar()
+    return current.filter(F.col("batch") == last).drop("batch"), history.drop("batch")
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in CLOSED.split(", ")]
     out = pd.DataFrame(rows, columns=names)

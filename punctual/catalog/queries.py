@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from punctual.operators import (
     routes,
     schedule,
 )
+from punctual.plans import policy
 from punctual.session import shared_folder
 from punctual.sources import fixtures as fx
 from punctual.sources import gtfs, realtime, weblog
@@ -267,6 +268,49 @@ query("m11_prediction_stop_daily", lambda t: t["mart_prediction_stop_daily"])
 query("m12_route_daily", lambda t: t["mart_route_daily"])
 query("m13_stop_route_daily", lambda t: t["mart_stop_route_daily"])
 query("m14_stop_route_hourly", lambda t: t["mart_stop_route_hourly"])
+
+
+def built_in_steps(t: Tables, name: str, build: Callable[[str], None]) -> DataFrame:
+    """What a build wrote, read back from the shared folder."""
+    root = f"{shared_folder(t.spark)}/build-{uuid.uuid4().hex}"
+    build(root)
+    return policy.read_table(t.spark, root, name)
+
+
+def incremental_build(t: Tables) -> DataFrame:
+    """A mart by days: a first build that sees some of the days, then one that sees all."""
+    def build(root: str) -> None:
+        for last in (date(2024, 1, 20), date(2024, 1, 21), date(2030, 1, 1)):
+            seen = {"stop_events": t["stop_events"].filter(F.col("service_date") <= F.lit(last))}
+            policy.build_recent_days(t.spark, root, "trend", lambda start: marts.trend_daily(seen, start), AS_OF)
+
+    return built_in_steps(t, "trend", build).select(*t["mart_trend_daily"].columns)
+
+
+def version_build(t: Tables) -> DataFrame:
+    """Filled stop times by versions: the older ones first, then those that are new."""
+    def build(root: str) -> None:
+        for newest in (5, 10**6):
+            times = t["stop_times"].filter(F.col("feed_version_id") <= newest)
+            policy.build_new_versions(t.spark, root, "filled", lambda new: schedule.stop_times_filled({"stop_times": new(times)}))
+
+    return built_in_steps(t, "filled", build).select(*t["stop_times_filled"].columns)
+
+
+def stale_build(t: Tables) -> DataFrame:
+    """A summary that is kept while fresh and computed again when stale."""
+    def build(root: str) -> None:
+        few = {"prediction_errors": t["prediction_errors"].limit(0)}
+        policy.refresh_if_stale(t.spark, root, "calibration", lambda: marts.calibration(few), AS_OF)
+        for minutes in (10, 56):
+            policy.refresh_if_stale(t.spark, root, "calibration", lambda: t["mart_calibration"], AS_OF + timedelta(minutes=minutes))
+
+    return built_in_steps(t, "calibration", build).drop("built_at")
+
+
+query("p1_incremental_build", incremental_build)
+query("p2_new_versions", version_build)
+query("p3_refresh_if_stale", stale_build)
 query("m15_trend_daily", lambda t: t["mart_trend_daily"])
 
 # --- shared expressions --------------------------------------------------------------------

@@ -490,7 +490,9 @@ def first_stops_and_timepoints(t: Tables, as_of: datetime, cfg: Config = DEFAULT
     agency = seconds_between(F.col("feed_settled_time"), F.col("scheduled_arrival"))
     ours = seconds_between(F.col("observed_arrival"), F.col("scheduled_arrival"))
     diff = F.col("methods_diff_s")
-    return rows.groupBy("is_first_stop").agg(
+    by_gps = exact_percentiles(rows.select("is_first_stop", ours.alias("ours")), ["is_first_stop"], "ours", {"lateness_by_gps_s": 0.5})
+    by_gps = by_gps.select(F.col("is_first_stop").alias("__first"), F.round("lateness_by_gps_s").alias("lateness_by_gps_s"))
+    counted = rows.groupBy("is_first_stop").agg(
         _n().alias("n"),
         _share(F.col("time_source") == cfg.source_agency).alias("pct_agency_scored"),
         _med(diff).alias("agency_minus_gps_s"),
@@ -498,9 +500,9 @@ def first_stops_and_timepoints(t: Tables, as_of: datetime, cfg: Config = DEFAULT
         _med(diff, 0.75).alias("p75_s"),
         _share(agency == 0).alias("pct_exactly_scheduled"),
         _med(agency).alias("lateness_by_agency_s"),
-        _med(ours).alias("lateness_by_gps_s"),
         _med(F.col("delay_s")).alias("lateness_scored_s"),
     )
+    return counted.join(by_gps, F.col("is_first_stop").eqNullSafe(F.col("__first")), "left").drop("__first")
 
 
 def _compared(t: Tables) -> DataFrame:
@@ -794,12 +796,15 @@ def early_by_kind(t: Tables, as_of: datetime) -> DataFrame:
 def first_stop_departures(t: Tables, as_of: datetime, cfg: Config = DEFAULT) -> DataFrame:
     rows = _since(t["stop_events"], _days_back(as_of, 30)).filter("is_first_stop and trip_had_realtime")
     wait = seconds_between(F.col("feed_settled_time"), F.col("observed_arrival"))
+    waits = exact_percentiles(rows.select(F.lit(0).alias("all"), wait.alias("wait")), ["all"], "wait", {"mid": 0.5, "high": 0.9})
     return rows.agg(
         _n().alias("n_first_stops_seen"),
         _share(F.col("time_source") == cfg.source_agency).alias("pct_agency_departure"),
         _share(F.col("status").isNotNull()).alias("pct_scored"),
-        _med(wait).alias("arrived_before_departure_median_s"),
-        _med(wait, 0.9).alias("arrived_before_departure_p90_s"),
+    ).select(
+        "*",
+        waits.select(F.round("mid")).scalar().alias("arrived_before_departure_median_s"),
+        waits.select(F.round("high")).scalar().alias("arrived_before_departure_p90_s"),
     )
 
 

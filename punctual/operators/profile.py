@@ -56,18 +56,17 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact interpolated percentiles of a continuous value per group: (keys, n, one column each).
 
-    ``percentile`` would hold every distinct value of a group in one task. Here a histogram of
-    ``width``-wide cells first finds which cells hold the ranks asked for; only those cells' rows are
-    then ranked. The cells of a group are spread over tasks, so a group holding most of the rows is
-    not one task's work."""
+    ``percentile`` would hold every distinct value of a group in one task. Here equal values are
+    counted first, so that one value with most of the rows is one row. A histogram of ``width``-wide
+    cells then finds which cells hold the ranks asked for, and only those cells' distinct values get
+    a running count. The cells of a group are spread over tasks."""
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).withColumn(
-        "__cell", F.floor(F.col(value) / F.lit(width))
-    )
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    rows = rows.withColumn("__cell", F.floor(F.col(value) / F.lit(width)))
     group = Window.partitionBy(*keys)
     cells = (
         rows.groupBy(*keys, "__cell")
-        .agg(F.count(F.lit(1)).alias("__in"))
+        .agg(F.sum("__n").alias("__in"))
         .withColumn("__upto", F.sum("__in").over(group.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("n", F.sum("__in").over(group))
     )
@@ -79,23 +78,17 @@ def exact_percentiles(
             holds = holds | ((before <= rank) & (rank < F.col("__upto")))
     needed = cells.filter(holds).withColumn("__before", before).drop("__in", "__upto")
     on = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "__cell"]]
+    upto = Window.partitionBy(*keys, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
         rows.alias("r")
         .join(needed.alias("c"), on)
         .select("r.*", "c.n", "c.__before")
-        .withColumn(
-            "__rank",
-            F.col("__before")
-            + F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy(value))
-            - 1,
-        )
+        .withColumn("__end", F.col("__before") + F.sum("__n").over(upto))
     )
+    at = lambda rank: F.when((F.col("__end") - F.col("__n") <= rank) & (rank < F.col("__end")), F.col(value))
     aggs = []
     for name, pos in spot.items():
-        aggs += [
-            F.max(F.when(F.col("__rank") == F.floor(pos), F.col(value))).alias(f"__{name}_lo"),
-            F.max(F.when(F.col("__rank") == F.ceil(pos), F.col(value))).alias(f"__{name}_hi"),
-        ]
+        aggs += [F.max(at(F.floor(pos))).alias(f"__{name}_lo"), F.max(at(F.ceil(pos))).alias(f"__{name}_hi")]
     picked = ranked.groupBy(*keys, "n").agg(*aggs)
     out = []
     for name, pos in spot.items():

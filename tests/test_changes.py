@@ -120,3 +120,32 @@ def test_chunked_windows_equal_plain_ones_on_a_hot_key(spark):
     cols = ["id", "p", "m", "s", "x"]
     got = ours.select("id", F.col("prev.v").alias("p"), "m", "s", F.col("nxt.v").alias("x"))
     assert rows(plain.select(*cols)) == rows(got.select(*cols))
+
+
+def test_stream_does_not_depend_on_pieces(spark, tmp_path):
+    rows_ = [("t", None, 1, f"v{(i * 7) % 5 // 2}", T + 10 * i, i) for i in range(200)]
+    snaps = spark.createDataFrame(
+        [(k, d, s, v, h * 10**6, None, f) for k, d, s, v, h, f in rows_],
+        "trip_id string, start_date date, stop_sequence int, told string, header_us long, scheduled_us long, fetch_id long",
+    )
+    found = []
+    for size in ("20", "10000"):
+        folder = tmp_path / size
+        snaps.orderBy(F.xxhash64("fetch_id")).coalesce(1).write.parquet(str(folder / "in"))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        source = spark.readStream.schema(snaps.schema).parquet(str(folder / "in"))
+        streaming.run_available(streaming.change_only(source), str(folder / "out"), str(folder / "cp"))
+        found.append(rows(spark.read.schema(streaming.CLOSED).parquet(str(folder / "out"))))
+    assert found[0] == found[1]
+    told = [r[3] for r in rows_]
+    assert len(found[0]) == sum(a != b for a, b in zip(told, told[1:]))
+
+
+def test_percentile_of_a_value_with_most_rows(spark):
+    from punctual.operators.profile import exact_percentiles
+
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 10 > 0, 600.0).otherwise(F.col("id") / 7).alias("v"))
+    shares = {"a": 0.03, "b": 0.5, "c": 0.99}
+    expected = df.groupBy("k").agg(F.count("v").alias("n"), *[F.percentile("v", F.lit(q)).alias(n) for n, q in shares.items()])
+    got = exact_percentiles(df, ["k"], "v", shares)
+    assert [[round(x, 9) for x in r] for r in rows(got, "k")] == [[round(x, 9) for x in r] for r in rows(expected, "k")]

@@ -26,7 +26,8 @@ def sql_engine():
 @pytest.mark.parametrize("name", sorted(QUERIES) if os.environ.get("PUNCTUAL_ALL") else SAMPLE)
 def test_query_matches_its_sql(spark, sql_engine, name):
     state, n, _, note = compare(spark, sql_engine, SMALL, name, QUERIES[name], SQL.get(name))
-    assert state in ("ok", "rows only"), note
+    # without SQL another test compares the query with a plain version; here it must give rows
+    assert state == "ok" or SQL.get(name) is None and n > 0, note
 
 
 def test_most_queries_are_checked():

@@ -31,6 +31,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS = 20
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    """A place in the table; short prefixes have small hashes, so these are spread first."""
+    return ((h ^ h >> np.uint64(32)) * _STEP >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
 class Pieces:
     """The vocabulary as a hash table of all prefixes of its pieces, for many words at once."""
 
@@ -51,14 +56,14 @@ class Pieces:
         self.hashes = np.zeros(1 << _SLOT_BITS, np.uint64)
         self.piece = np.full(1 << _SLOT_BITS, -2, np.int32)
         for h, number in prefixes.items():
-            slot = h >> 64 - _SLOT_BITS
+            slot = int(_slot(np.array([h], np.uint64))[0])
             while self.piece[slot] != -2:
                 slot = (slot + 1) % (1 << _SLOT_BITS)
             self.hashes[slot], self.piece[slot] = h, number
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece of each prefix hash; -1 for a prefix that is no piece, -2 for none."""
-        slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        slot = _slot(h)
         found = self.piece[slot]
         wrong = np.flatnonzero((found != -2) & (self.hashes[slot] != h))
         while len(wrong):

@@ -37,7 +37,7 @@ FREQUENT = 1 << 15
 CLASSES, OWN_CLASS = 64, 32
 CONTEXTS = 3
 #: Tokens back over which the commonest of the most frequent words is told.
-LATELY = 48
+LATELY, REFRESHED = 48, 8
 #: Gates: code depths and confidences; steps of the refining map.
 DEPTHS, TRUSTS, STEPS = 8, 4, 33
 GATES = DEPTHS * TRUSTS
@@ -51,6 +51,28 @@ DRAWN = 3.0
 _SPELL = CONTEXTS + 1
 
 
+def _commonest(kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each token the most frequent word that was the commonest of late in its text, told anew every REFRESHED
+    tokens; CLASSES - 1 where there was none."""
+    n = len(kinds)
+    blocks = np.arange(n) // REFRESHED
+    counts = np.bincount(blocks * (OWN_CLASS + 1) + np.minimum(kinds, OWN_CLASS), minlength=(n // REFRESHED + 1) * (OWN_CLASS + 1))
+    sums = np.zeros((n // REFRESHED + 2, OWN_CLASS), np.int32)
+    np.cumsum(counts.reshape(-1, OWN_CLASS + 1)[:, :OWN_CLASS], axis=0, out=sums[1:])
+    opens = np.zeros(n, bool)
+    opens[::REFRESHED] = True
+    opens[offsets[:-1]] = True
+    at = np.flatnonzero(opens)
+    # whole blocks between the text's start and this one
+    starts = np.repeat(offsets[:-1], np.diff(offsets))[at]
+    end = at // REFRESHED
+    low = np.minimum(np.maximum(end - LATELY // REFRESHED, -(-starts // REFRESHED)), end)
+    seen = sums[end] - sums[low]
+    best = seen.argmax(1)
+    best[seen[np.arange(len(at)), best] == 0] = CLASSES - 1
+    return np.repeat(best, np.diff(np.r_[at, n]))
+
+
 class Code:
     """Huffman code of the frequent words, the escape and the end; built from their training counts."""
 
@@ -109,14 +131,7 @@ class Code:
         for k in range(CONTEXTS - 1):
             before[k, k + 1 :] = all_kinds[: -k - 1]
             before[k, place <= k] = CLASSES - 1
-        for at in range(0, len(all_kinds), CHUNK):  # of each token's LATELY tokens before it in its text
-            low = max(0, at - LATELY)
-            seen = np.zeros((min(len(all_kinds), at + CHUNK) - low + 1, OWN_CLASS), np.int32)
-            np.cumsum(all_kinds[low : at + CHUNK, None] == np.arange(OWN_CLASS), axis=0, out=seen[1:])
-            own = np.arange(at, min(len(all_kinds), at + CHUNK))
-            counts = seen[own - low] - seen[np.maximum(own - np.minimum(place[own], LATELY), low) - low]
-            best = counts.argmax(1)
-            before[CONTEXTS - 1, own] = np.where(counts[np.arange(len(own)), best] > 0, best, CLASSES - 1)
+        before[CONTEXTS - 1] = _commonest(all_kinds, with_ends)
         return all_symbols, before, with_ends, codes, names
 
     def bits(self, symbols: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
@@ -202,20 +217,23 @@ class Mixer:
     """Gated weights and the refining map."""
 
     def __init__(self, weights: np.ndarray | None = None, true: np.ndarray | None = None):
-        self.weights = np.full((GATES, CONTEXTS + 1), 0.4) if weights is None else weights
+        self.weights = np.full((GATES, CONTEXTS + 1), 0.4, np.float32) if weights is None else weights.astype(np.float32)
         steps = np.linspace(-8, 8, STEPS)
         if true is None:
-            self.map = np.tile(1 / (1 + np.exp(-steps)), (GATES, 1))
+            self.map = np.tile(1 / (1 + np.exp(-steps)), (GATES, 1)).astype(np.float32)
         else:  # counts of zeros and ones, drawn to the step's own value
             own = 1 / (1 + np.exp(-steps))
-            self.map = (true[1] + 20 * own) / (true.sum(0) + 20)
+            self.map = ((true[1] + 20 * own) / (true.sum(0) + 20)).astype(np.float32)
 
     def mixed(self, gate: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-        return np.clip((self.weights[gate].T * inputs).sum(0), -8, 8)
+        z = self.weights[:, 0][gate] * inputs[0]
+        for k in range(1, len(inputs)):
+            z += self.weights[:, k][gate] * inputs[k]
+        return np.clip(z, -8, 8, out=z)
 
     def learn(self, gate: np.ndarray, inputs: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """One online pass: after every few bits the weights take a step. Gives what was predicted before each step."""
-        out = np.empty(len(bit))
+        out = np.empty(len(bit), np.float32)
         for at in range(0, len(bit), BLOCK_BITS):
             part = slice(at, at + BLOCK_BITS)
             g, x = gate[part], inputs[:, part]
@@ -223,17 +241,19 @@ class Mixer:
             error = bit[part] - 1 / (1 + np.exp(-z))
             n = np.maximum(np.bincount(g, minlength=GATES), 1)
             for k in range(len(x)):
-                self.weights[:, k] += RATE * np.bincount(g, error * x[k], GATES) / n
+                self.weights[:, k] += (RATE * np.bincount(g, error * x[k], GATES) / n).astype(np.float32)
         return out
 
     def refined(self, gate: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Probability of a one: the mixture and, between two steps of the map, what came true, half each."""
-        at = (z + 8) * ((STEPS - 1) / 16)
-        low = np.minimum(at.astype(np.int64), STEPS - 2)
-        share = at - low
-        flat = self.map.ravel()
-        mapped = flat[gate * STEPS + low] * (1 - share) + flat[gate * STEPS + low + 1] * share
-        return np.clip(0.5 / (1 + np.exp(-z)) + 0.5 * mapped, 1e-6, 1 - 1e-6)
+        at = (z + np.float32(8)) * np.float32((STEPS - 1) / 16)
+        low = np.minimum(at.astype(np.int32), STEPS - 2)
+        share = at - low.astype(np.float32)
+        flat, cell = self.map.ravel(), gate * STEPS + low
+        here = flat[cell]
+        mapped = here + (flat[cell + 1] - here) * share
+        half = np.float32(0.5)
+        return np.clip(half / (1 + np.exp(-z)) + half * mapped, np.float32(1e-6), np.float32(1 - 1e-6))
 
 
 def _spelling_slots(names: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -317,23 +337,21 @@ def train(docs: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        held = [np.zeros((2, n), np.uint32) for n in sizes[:_SPELL]]
+        held, one = [np.zeros(2 * n, np.uint32) for n in sizes[:_SPELL]], np.uint32(1)
         for batch in slices(batches):
             symbols, before, *_ = code.symbols(batch.column("text"))
             for _, _, bit, _, slots in code.bits(symbols, before):
-                ones = bit.astype(bool)
                 for table, slot in zip(held, slots):
-                    np.add.at(table[0], slot[~ones], 1)
-                    np.add.at(table[1], slot[ones], 1)
+                    np.add.at(table, slot * 2 + bit, one)
         for k, table in enumerate(held):
-            yield _as_batch(list(_blocks(k, table)))
+            yield _as_batch(list(_blocks(k, table.reshape(-1, 2).T)))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # every word once: words not seen yet are spelled like other words, not like frequent ones
         held = [np.zeros((2, n), np.uint32) for n in sizes[_SPELL:]]
         for batch in batches:
             for table, slot in zip(held, _spelling_slots(batch.column("word").to_pylist())[0]):
-                np.add.at(table[1], slot, 1)
+                np.add.at(table[1], slot, np.uint32(1))
         for k, table in enumerate(held):
             yield _as_batch(list(_blocks(_SPELL + k, table)))
 
@@ -348,12 +366,13 @@ def train(docs: DataFrame) -> Model:
         for batch in slices(batches):
             symbols, before, *_ = code.symbols(batch.column("text"))
             for _, _, bit, depth, slots in code.bits(symbols, before):
-                inputs, ones = np.empty((CONTEXTS + 1, len(bit))), bit == 1
+                inputs, ones = np.empty((CONTEXTS + 1, len(bit)), np.float32), bit.astype(np.float32)
                 for k, (table, slot) in enumerate(zip(tables, slots)):
                     # without this bit itself, as for a text that was not learned
-                    inputs[k] = np.log((table[1][slot] - ones + 0.4) / (table[0][slot] - ~ones + 0.4))
+                    zeros, own = table[0][slot], table[1][slot]
                     if k == 1:
-                        trust = _trust(table[0][slot] + table[1][slot] - 1)
+                        trust = _trust(zeros + own - 1)
+                    inputs[k] = np.log((own + (np.float32(0.4) - ones)) / (zeros + (ones - np.float32(0.6))))
                 gate = depth * TRUSTS + trust
                 z = mixer.learn(gate, inputs, bit)
                 cell = gate * STEPS + np.rint((z + 8) * ((STEPS - 1) / 16)).astype(np.int64)
@@ -397,7 +416,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 gate = depth * TRUSTS + trusts[slots[1]]
                 p = mixer.refined(gate, mixer.mixed(gate, inputs))
                 n = int(token[-1]) + 1
-                by_token[at : at + n] += np.bincount(token, np.log10(np.where(bit == 1, p, 1 - p)), n)
+                by_token[at : at + n] = np.bincount(token, np.log10(np.where(bit == 1, p, 1 - p)), n)
             total = np.add.reduceat(by_token, offsets[:-1])
             base = np.add.reduceat(base_of[symbols], offsets[:-1])
             known = np.add.reduceat((symbols != code.escape).astype(np.int64), offsets[:-1]) - 1 + ends_known

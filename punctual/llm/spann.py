@@ -26,6 +26,8 @@ PART = 4000
 #: Queries whose exact neighbours set the ratio, and the share of those neighbours it must reach.
 CALIBRATION, REACH = 128, 0.97
 DEGREE = 24
+#: Neighbours found that a task holds before it keeps the best of each query.
+HELD = 400_000
 _LISTS = "list int, part int, vec_id long, query boolean, vec array<double>"
 
 
@@ -125,31 +127,63 @@ def _query(vectors: np.ndarray) -> np.ndarray:
     return np.hstack([vectors, np.zeros((len(vectors), 1))])
 
 
-def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed alike for every pair."""
-    return (vectors * query).sum(1)
+def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query id, vec_id, score, row) of the k best of each query among these vectors, but for its own id.
 
-
-def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query, vec_id, score, row) of the k best of each query among these vectors, but for its own id."""
+    A product of matrices tells which can be among the best; scores are then summed alike for every pair.
+    """
     rough = queries @ vectors.T
     slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
-    for i, query_id in enumerate(query_ids.tolist()):
-        mine = np.flatnonzero(ids != query_id)
-        if len(mine) > k:
-            least = np.partition(rough[i, mine], len(mine) - k)[len(mine) - k]
-            mine = mine[rough[i, mine] >= least - slack]
-        score = exact_scores(queries[i], vectors[mine])
-        for j in np.lexsort((ids[mine], -score))[:k].tolist():
-            yield query_id, int(ids[mine[j]]), float(score[j]), int(mine[j])
+    rough[query_ids[:, None] == ids] = -np.inf
+    keep = np.isfinite(rough)
+    if rough.shape[1] > k:
+        keep &= rough >= np.partition(rough, rough.shape[1] - k, axis=1)[:, -k, None] - slack
+    q, v = np.nonzero(keep)
+    pieces = [(queries[q[at : at + 50_000]] * vectors[v[at : at + 50_000]]).sum(1) for at in range(0, len(q), 50_000)]
+    score = np.concatenate(pieces) if pieces else np.zeros(0)
+    first = _best(q, ids[v], score, k)
+    return query_ids[q[first]], ids[v[first]], score[first], v[first]
+
+
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query, an id once: largest score first, ties to the smaller id."""
+    order = np.lexsort((ids, -score, query))
+    new = np.r_[True, query[order][1:] != query[order][:-1]] if len(order) else np.zeros(0, bool)
+    # copies of one id under several lists have equal scores and stand side by side
+    again = np.r_[False, (ids[order][1:] == ids[order][:-1]) & ~new[1:]] if len(order) else new
+    order, new = order[~again], new[~again]
+    starts = np.flatnonzero(new)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return order[rank < k]
 
 
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+class _Best:
+    """The best of each query that a task has met so far; given up in parts once they are too many to hold."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.size = k, [], 0
+
+    def add(self, found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        self.held.append(found[:3])
+        self.size += len(found[0])
+        if self.size > HELD:
+            query, ids, score = self._reduced()
+            self.held, self.size = [(query, ids, score)], len(query)
+            if self.size > HELD // 2:
+                yield from self.rest()
+
+    def _reduced(self) -> tuple[np.ndarray, ...]:
+        query, ids, score = (np.concatenate(c) for c in zip(*self.held))
+        first = _best(query, ids, score, self.k)
+        return query[first], ids[first], score[first]
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self._reduced()], ["query_id", "vec_id", "score"])
+        self.held, self.size = [], 0
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -168,15 +202,9 @@ def _calibrated(vectors: DataFrame, queries: DataFrame, graph: Graph, largest: f
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = matrix(batch.column("vec"))
-            rows = list(best_of(ids, asked, batch.column("vec_id").to_numpy(), own, k))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.float64()),
-                    pa.array([own[r[3]] for r in rows], pa.list_(pa.float64())),
-                ],
-                ["query_id", "score", "vec"],
-            )
+            query, _, score, row = best_of(ids, asked, batch.column("vec_id").to_numpy(), own, k)
+            vecs = pa.array(list(own[row]), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(score), vecs], ["query_id", "score", "vec"])
 
     found = vectors.mapInArrow(scan, "query_id long, score double, vec array<double>")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"))
@@ -249,7 +277,7 @@ def search(embeddings: DataFrame, step: int = 20, k: int = 20) -> DataFrame:
         return asked.select("vec_id", "vec").mapInArrow(route, _LISTS)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, own = None, [], []
+        key, ids, own, best = None, [], [], _Best(k)
         for batch in batches:
             of = batch.column("list").to_numpy().astype(np.int64) << 32 | batch.column("part").to_numpy()
             asks = batch.column("query").to_numpy(zero_copy_only=False)
@@ -265,7 +293,8 @@ def search(embeddings: DataFrame, step: int = 20, k: int = 20) -> DataFrame:
                     ids, own = [np.concatenate(ids)], [np.concatenate(own)]
                     for i in range(a, b, 500):
                         j = min(i + 500, b)
-                        yield _found([r[:3] for r in best_of(vec_ids[i:j], vecs[i:j], ids[0], own[0], k)])
+                        yield from best.add(best_of(vec_ids[i:j], vecs[i:j], ids[0], own[0], k))
+        yield from best.rest()
 
     def answers(asked: DataFrame, ratio: float) -> DataFrame:
         order = ("list", "part")

@@ -187,26 +187,33 @@ def _merged(blocks: DataFrame) -> DataFrame:
 
 
 @functools.lru_cache(maxsize=1)
-def _tables(folder: str, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """All merged counts, read by a task from the shared folder: zeros and ones by slot, as 32-bit floats."""
+def _tables(folder: str, sizes: tuple[int, ...], spelling: bool) -> list[np.ndarray]:
+    """Merged counts, read by a task from the shared folder, as 32-bit floats: zeros and ones of the contexts by
+    slot, or the spelling's letters by slot."""
     where, base = pafs.FileSystem.from_uri(folder)
-    out = [np.zeros((2, n), np.float32) for n in sizes]
+    first, rows = (_SPELL, slice(1, 2)) if spelling else (0, slice(0, 2))
+    out = [np.zeros((rows.stop - rows.start, n), np.float32) for n in (sizes[_SPELL:] if spelling else sizes[:_SPELL])]
     files = [f.path for f in where.get_file_info(pafs.FileSelector(base, recursive=True)) if f.path.endswith(".parquet")]
     for path in files:
         with where.open_input_file(path) as f:
             for row in pq.read_table(f).to_pylist():
-                part = np.frombuffer(zlib.decompress(row["body"]), np.int64).reshape(2, -1)
-                out[row["table"]][:, row["block"] * MERGED : row["block"] * MERGED + part.shape[1]] = part
+                if (row["table"] >= _SPELL) == spelling:
+                    part = np.frombuffer(zlib.decompress(row["body"]), np.int64).reshape(2, -1)[rows]
+                    out[row["table"] - first][:, row["block"] * MERGED : row["block"] * MERGED + part.shape[1]] = part
     return out
 
 
 @functools.lru_cache(maxsize=1)
 def _ready(folder: str, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, Spelling]:
     """The contexts' predictions in the logistic domain, how far the first context's slots can be trusted, and spelling."""
-    tables = _tables(folder, sizes)
+    tables = _tables(folder, sizes, False)
     _tables.cache_clear()
-    stretched = [np.log((t[1] + np.float32(0.4)) / (t[0] + np.float32(0.4))) for t in tables[:_SPELL]]
-    return stretched, _trust(tables[1].sum(0)).astype(np.uint8), Spelling([t[1] for t in tables[_SPELL:]])
+    stretched = [np.log((t[1] + np.float32(0.4)) / (t[0] + np.float32(0.4))) for t in tables]
+    trusts = _trust(tables[1].sum(0)).astype(np.uint8)
+    del tables
+    letters = _tables(folder, sizes, True)
+    _tables.cache_clear()
+    return stretched, trusts, Spelling([t[0] for t in letters])
 
 
 def _trust(n: np.ndarray) -> np.ndarray:
@@ -361,7 +368,7 @@ def train(docs: DataFrame) -> Model:
     folder = model.folder
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tables, mixer = shared.value, _tables(folder, sizes), Mixer()
+        code, tables, mixer = shared.value, _tables(folder, sizes, False), Mixer()
         true, seen = np.zeros((2, GATES, STEPS)), 0
         for batch in slices(batches):
             symbols, before, *_ = code.symbols(batch.column("text"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import langid, mixing, packing, simhash, substring
+from punctual.llm import langid, mixing, nearcopies, packing, substring
 from punctual.llm.common import fold, read, store
 
 #: Probability that a document's language must have to stay.
@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id stays."""
-    return simhash.representatives(docs)
+    """Of each group of near-duplicates (5-word Jaccard of 0.8 or more) the document of smallest id stays."""
+    return nearcopies.representatives(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.llm.common import partitions, slices, store, words
@@ -255,13 +255,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def representatives(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: the smallest doc_id, ids before none.
 
     Rows without an id are told apart by their texts; of rows equal in both one stays.
     """
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    hashed = docs.select("doc_id", "text", text_hash.alias("text_hash"))
+    hashed = docs.select("doc_id", "text", text_hash().alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -269,12 +272,16 @@ def representatives(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), prints], ["doc_id", "text_hash", "fp"])
 
     prints = store(hashed.select(F.col("doc_id").cast("long"), "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, fp long"), "prints")
-    members = _members(prints, distance)
+    return first_of_each(docs, prints, _members(prints, distance))
+
+
+def first_of_each(docs: DataFrame, prints: DataFrame, members: DataFrame) -> DataFrame:
+    """The first row of each group, from ``prints(doc_id, text_hash, fp)`` and ``members(fp, root)``."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     first = prints.groupBy("fp").agg(F.min(order).alias("first"))
     chosen = members.join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
     chosen = store(chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "chosen")
-    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_hash": text_hash})
+    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_hash": text_hash()})
     kept = chosen.select(F.coalesce("_id", F.lit(0).cast("long")).alias("_key"), F.col("_id").isNull().alias("_none"), "_hash")
     one = Window.partitionBy("_key", "_none", "_hash").orderBy(F.lit(0))
     rows = keyed.join(kept, ["_key", "_none", "_hash"], "left_semi").withColumn("_n", F.row_number().over(one))

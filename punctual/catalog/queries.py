@@ -211,7 +211,7 @@ def utm_stops(t: Tables) -> DataFrame:
     from punctual.functions.geo import utm
 
     x, y = utm(F.col("stop_lon"), F.col("stop_lat"))
-    return t["stops"].filter("feed_version_id = 5").select("stop_id", x.alias("x"), y.alias("y"))
+    return t["stops"].select("feed_version_id", "stop_id", x.alias("x"), y.alias("y"))
 
 
 query("g1_projected_stops", utm_stops)
@@ -227,6 +227,18 @@ def distances(t: Tables) -> DataFrame:
 
 
 query("g2_distances", distances)
+
+
+def distances_all_versions(t: Tables) -> DataFrame:
+    """Every version's stops, measured from the same version's S0."""
+    from punctual.functions.geo import distance_m
+
+    here = t["stops"].filter("stop_id = 'S0'").select("feed_version_id", F.col("stop_lon").alias("lon"), F.col("stop_lat").alias("lat"))
+    return t["stops"].join(here, "feed_version_id", "left").select(
+        "feed_version_id", "stop_id", distance_m(F.col("lon"), F.col("lat"), F.col("stop_lon"), F.col("stop_lat")).alias("metres"))
+
+
+query("g2_distances_all_versions", distances_all_versions)
 query("g3_shape_lines", lambda t: geometry.shape_lines(t).select("feed_version_id", "shape_id", "n_points", "length_m"))
 
 

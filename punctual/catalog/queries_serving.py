@@ -120,6 +120,7 @@ query("q37_load_times", lambda t: visitors.load_times(t, AS_OF))
 # --- names ---------------------------------------------------------------------------------
 
 query("p11_stop_names", lambda t: t["stops"].filter("feed_version_id = 5").select("stop_id", clean_stop_name(F.col("stop_name")).alias("shown")))
+query("p11_stop_names_all_versions", lambda t: t["stops"].select("feed_version_id", "stop_id", clean_stop_name(F.col("stop_name")).alias("shown")))
 query("p11_headsigns", lambda t: t["trips"].join(
     t["routes"].select("feed_version_id", "route_id", "route_short_name"), ["feed_version_id", "route_id"]).groupBy(
     "route_short_name", clean_headsign(F.col("trip_headsign"), F.col("route_short_name")).alias("shown")).agg(F.count(F.lit(1)).alias("trips")))
@@ -185,7 +186,7 @@ query("d21_coverage_by_hour", lambda t: diagnostics.coverage_by_hour(t, AS_OF))
 query("d22_doubtful_counts", lambda t: diagnostics.doubtful_counts(t, AS_OF))
 query("d22_doubtful_list", diagnostics.doubtful_list)
 query("d22_rule_comparison", lambda t: diagnostics.doubtful_rule_comparison(t, AS_OF))
-query("d23_stop_order_check", lambda t: routes.order_check(t, 5))
+query("d23_stop_order_check", lambda t: routes.order_check(t))
 query("d24_strips_check", lambda t: diagnostics.strips_check(t, AS_OF))
 query("d25_off_shape", diagnostics.off_shape)
 
@@ -212,5 +213,6 @@ query("k5_scheduled_times_in_order", lambda t: quality.scheduled_times_in_order(
 query("k6_observed_times_in_order", lambda t: quality.observed_times_in_order(t))
 query("k7_filled_times_in_order", lambda t: quality.filled_times_in_order(t))
 query("k8_missing_parents", lambda t: quality.missing_parents(t["stop_times"], t["stops"].filter("location_type = 1"), ["feed_version_id", "stop_id"]))
+query("k8_missing_stops", lambda t: quality.missing_parents(t["stop_times"], t["stops"], ["feed_version_id", "stop_id"]))
 query("k9_freshness", lambda t: quality.freshness(polls(t), AS_OF))
-query("k_all_rules", lambda t: quality.summary(t, ["feed_version_by_date", "active_services", "scheduled_stop_events", "stop_events", "mart_route_daily"]))
+query("k_all_rules", lambda t: quality.summary(t, list(quality.RULES)))

@@ -74,7 +74,7 @@ def route_order(placed: DataFrame) -> DataFrame:
     return placed.groupBy(*ROUTE, "place").agg(F.min("stop_id").alias("stop_id"))
 
 
-def order_check(t: Tables, fv) -> DataFrame:
+def order_check(t: Tables, fv=None) -> DataFrame:
     """Routes whose trips make different stops: stop lists, longest list, places, stops visited twice,
     and how many stops an order by smallest stop number would have put elsewhere."""
     patterns = stop_patterns(t, fv)
@@ -108,6 +108,6 @@ def order_check(t: Tables, fv) -> DataFrame:
         .join(moved, ROUTE)
         .join(t["routes"].select("feed_version_id", "route_id", "route_short_name"), ["feed_version_id", "route_id"])
         .select(
-            "route_short_name", "direction_id", "trips", "stop_lists", "longest", "places", "stops_twice", "old_order_moved"
+            "feed_version_id", "route_short_name", "direction_id", "trips", "stop_lists", "longest", "places", "stops_twice", "old_order_moved"
         )
     )

@@ -191,6 +191,8 @@ def orphans_after_cut(t: Tables) -> DataFrame:
 
 
 query("s18_orphans_after_cut", orphans_after_cut)
+# the tables as they are: rows that pointed nowhere before the cut are left after it
+query("s18_orphans_left_after_cut", lambda t: ingest.orphans(ingest.drop_before(t, date(2024, 1, 10))))
 query("s21_access_log", lambda t: weblog.access_log(fx.log_lines(t), AS_OF))
 query("s21_access_counts", lambda t: weblog.access_counts(weblog.access_log(fx.log_lines(t), AS_OF)))
 query("s22_page_views", lambda t: weblog.page_views(fx.page_hits(t), fx.salts(t)).select("viewed_at", "session_id", "page", "device", "visitor"))

@@ -118,6 +118,7 @@ def orphans(t: Mapping[str, DataFrame]) -> DataFrame:
     for name, column in (
         ("vehicle_position", "fetch_id"),
         ("prediction_current", "first_fetch_id"),
+        ("prediction_history", "first_fetch_id"),
         ("trip_update", "fetch_id"),
         ("alert", "fetch_id"),
     ):

@@ -192,8 +192,11 @@ class Plan:
                     if beside is None:
                         break
                     alike = [size, *beside]
-                    n = min(int(self.left[s]) // alike.count(s) for s in alike)
-                    self.fix(alike, n if len(beside) < 2 else 1)
+                    if len(beside) < 2:
+                        n = min(int(self.left[s]) // alike.count(s) for s in alike)
+                    else:  # a set is told from counts up to 3 besides the piece itself: the same one while 4 are left
+                        n = max(1, min((int(self.left[s]) - 4) // alike.count(s) + 1 for s in alike))
+                    self.fix(alike, n)
                     changed = True
 
     def best_fit(self) -> None:

@@ -66,6 +66,29 @@ def naive_best_fit(sizes, capacity):
     return len(rooms)
 
 
+class OneByOne(packing.Plan):
+    """Fixes one sequence of three pieces at a time."""
+
+    def fix(self, sizes, n):
+        super().fix(sizes, 1 if len(sizes) > 2 else n)
+
+
+def test_triples_are_fixed_at_once():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        counts = np.zeros(61, np.int64)
+        counts[rng.integers(12, 61, rng.integers(1, 9))] = rng.integers(1, 40)
+        made, plain = packing.plan(counts, 60), OneByOne(counts, 60)
+        plain.reduce()
+        plain.best_fit()
+        assert (made.sequences, made.fixed) == (plain.sequences, plain.fixed)
+        assert sorted(map(sorted, expand(made, 60).values())) == sorted(map(sorted, expand(plain, 60).values()))
+    counts = np.zeros(packing.CAPACITY + 1, np.int64)
+    counts[1300] = 1_000_000
+    made = packing.plan(counts)
+    assert made.sequences == 333_334 and len(made.runs) < 20
+
+
 def test_large_histogram():
     rng = np.random.default_rng(1)
     sizes = np.minimum(4096, rng.lognormal(6, 1.2, 20_000).astype(int) + 1)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from punctual.llm import chat, langid, lmscore, minhash, mixing, packing, simhash, spann, substring, tokencount, warc
+from punctual.llm import chat, langid, lmscore, minhash, mixing, packing, runs, simhash, spann, substring, tokencount, warc
 from punctual.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents"))
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.plant_periods(read(spark, sf_dir, "documents"))))
+
+
 @query("op13_chat_round_trip")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"

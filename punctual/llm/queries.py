@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from punctual.llm import chat, langid, lmscore, minhash, mixing, packing, runs, simhash, spann, substring, tokencount, warc
+from punctual.llm import chat, langid, lmscore, minhash, mixing, packing, runs, simhash, spann, substring, tokencount, trie, warc
 from punctual.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,60 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find_runs(runs.plant_periods(read(spark, sf_dir, "documents"))))
 
 
+@query("op12_prefix_trie")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt(read(spark, sf_dir, "conversations")))
+
+
+ORACLES["op12_prefix_trie"] = r"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place
+  from conversations where conv_id is not null
+),
+-- crc32 of the decimal id, bit by bit
+convs as (
+  select conv_id, count(*) as n, conv_id - conv_id % 20 as base,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: ord(x)::bigint)),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 as h
+  from turns group by conv_id
+),
+lent as (select c.*, least(c.h, coalesce(b.n, 0)) as lent from convs c left join convs b on b.conv_id = c.base),
+rebuilt as (
+  select t.conv_id, t.place - l.h + l.lent as place, role, text from turns t join lent l on l.conv_id = t.conv_id where t.place >= l.h
+  union all
+  select l.conv_id, t.place, role, text from lent l join turns t on t.conv_id = l.base where t.place < l.lent
+),
+keyed as (
+  select conv_id, place + 1 as depth, length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words,
+    sha256(string_agg(sha256(concat(length(role), ':', role, text)), ',') over (partition by conv_id order by place)) as prefix
+  from rebuilt
+),
+members as (
+  select conv_id, depth, words, prefix, lag(prefix, 1, '') over (partition by conv_id order by depth) as above from keyed
+  union all select conv_id, 0, 0, '', null from convs
+),
+nodes as (
+  select prefix, min(conv_id) as conv_id, any_value(depth) as depth, any_value(above) as above, any_value(words) as words, count(*) as n_convs
+  from members group by prefix
+),
+kids as (select above, count(*) as n_children from nodes where depth > 0 group by above),
+weighed as (
+  select n.*, coalesce(k.n_children, 0) as n_children, case when k.above is null then 1 else 0 end as leaf, (n.n_convs - 1) * n.words as saved
+  from nodes n left join kids k on k.above = n.prefix
+),
+totals as (
+  select m.prefix, sum(w.leaf) as n_leaves, sum(w.saved) as saved_tokens
+  from weighed w join members m on m.conv_id = w.conv_id and m.depth <= w.depth group by m.prefix
+),
+last as (select conv_id, max_by(prefix, depth) as prefix from members group by conv_id),
+ends as (select prefix, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids from last group by prefix)
+select w.conv_id, w.depth, p.conv_id as parent_conv_id, w.n_convs, w.n_children, cast(t.n_leaves as bigint) as n_leaves,
+  cast(t.saved_tokens as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from weighed w join totals t on t.prefix = w.prefix left join nodes p on p.prefix = w.above left join ends e on e.prefix = w.prefix
+"""
+
+
 @query("op13_chat_round_trip")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"

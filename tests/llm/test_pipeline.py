@@ -80,7 +80,7 @@ def test_packing_places_all_tokens(steps):
 
 def test_registrations():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 

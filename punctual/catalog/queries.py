@@ -167,12 +167,30 @@ def stored_stream(t: Tables) -> tuple[DataFrame, DataFrame]:
     for k in range(4):
         t["events"].filter(F.col("event_id") % 4 == k).write.mode("append").parquet(f"{folder}/in")
         source = t.spark.readStream.schema(t["events"].schema).parquet(f"{folder}/in")
-        streaming.store_intervals(snapshots_of(source), folder, f"{folder}/checkpoint", SNAPSHOT_VALUE)
-    return streaming.stored_intervals(t.spark, folder, STORED_RUN)
+        store = streaming.store_intervals(snapshots_of(source), folder, f"{folder}/checkpoint", STORED_RUN, SNAPSHOT_VALUE, buckets=2)
+    return store.current(), store.history()
 
 
 query("s16_current_stored_stream", lambda t: stored_stream(t)[0].withColumn("closed_at", F.lit(None).cast("timestamp")).select(*RUN_COLUMNS))
 query("s16_history_stored_stream", lambda t: stored_stream(t)[1].select(*RUN_COLUMNS))
+
+
+def expiring_stream(t: Tables) -> streaming.IntervalStore:
+    """The events arriving a week at a time, days that ended more than two days ago closing as the events go on."""
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    week = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (7 * 86400))
+    weeks = t["events"].select(week.alias("w")).distinct()
+    for (w,) in sorted(weeks.collect()):  # a row a week of the collection
+        t["events"].filter(week == w).write.mode("append").parquet(f"{folder}/in")
+        source = t.spark.readStream.schema(t["events"].schema).parquet(f"{folder}/in")
+        store = streaming.store_intervals(
+            snapshots_of(source), folder, f"{folder}/checkpoint", STORED_RUN, SNAPSHOT_VALUE,
+            stale_days=CFG.stale_prediction_days, buckets=2)
+    return store
+
+
+query("s17_expired_stream_current", lambda t: expiring_stream(t).current().select(*[c for c in RUN_COLUMNS if c != "closed_at"]))
+query("s17_expired_stream_history", lambda t: expiring_stream(t).history().select(*RUN_COLUMNS))
 query("s17_current_after_close_out", lambda t: ingest.close_out(t["prediction_current"], t["prediction_history"], AS_OF)[0])
 query("s17_history_after_close_out", lambda t: ingest.close_out(t["prediction_current"], t["prediction_history"], AS_OF)[1])
 query("s18_kept_positions", lambda t: ingest.drop_before(t, date(2024, 1, 10))["vehicle_position"].groupBy("start_date").agg(

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from punctual.operators.changes import KEY, intervals
+from punctual.streaming.keyed import NO_DAY, HeldBack, KeyedTable, States, run_batches
 
 
 def new_messages(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -99,46 +103,105 @@ def change_only(snapshots: DataFrame, idle: str | None = None) -> DataFrame:
     )
 
 
-def store_intervals(stream: DataFrame, folder: str, checkpoint: str, value: list[str], carried: tuple[str, ...] = ("scheduled_time",)) -> None:
-    """Process all snapshots there are into ``current`` and ``history`` tables, micro-batch by micro-batch.
+def day_over(stale_days: int) -> Column:
+    """The moment from which a service day counts as long over: midnight UTC after ``stale_days`` more days."""
+    return F.date_add("start_date", stale_days + 1).cast("timestamp")
 
-    A batch takes the stored current rows of the keys it speaks of as messages already seen, runs the batch
-    operator over both, and writes what is closed now and what is current now under its own number. A
-    batch that is run again overwrites its own folders, so a restart doubles nothing. Messages not newer
-    than the last one a key took in an earlier batch change nothing; within a batch header order counts."""
-    spark = stream.sparkSession
 
-    def batch(snapshots: DataFrame, number: int) -> None:
-        rows = snapshots.select(*KEY, *value, *carried, "header_timestamp", "fetch_id")
-        before = spark.read.parquet(f"{folder}/current/batch={number - 1}") if number else None
-        if before is not None:
-            known = before.join(rows.select(*KEY).distinct(), KEY, "left_semi")
-            rows = rows.join(known.select(*KEY, "last_seen_at"), KEY, "left")
-            rows = rows.filter(F.col("last_seen_at").isNull() | (F.col("header_timestamp") > F.col("last_seen_at"))).drop("last_seen_at")
-        told = F.struct(*value, *carried, "fetch_id")
-        rows = rows.groupBy(*KEY, "header_timestamp").agg(F.min_by(told, "fetch_id").alias("told"))
-        rows = rows.select(*KEY, "told.*", "header_timestamp")
-        if before is not None:
-            ends = F.explode(F.array_distinct(F.array("first_seen_at", "last_seen_at")))
-            seen = known.select(*KEY, *value, *carried, F.col("first_fetch_id").alias("fetch_id"), ends.alias("header_timestamp"))
-            rows = rows.unionByName(seen)
-        runs = intervals(rows, value=value, carried=carried)
-        closed, open_ = runs.filter("closed_at is not null"), runs.filter("closed_at is null").drop("closed_at")
-        if before is not None:
-            open_ = open_.unionByName(before.join(known.select(*KEY), KEY, "left_anti"))
-        closed.write.mode("overwrite").parquet(f"{folder}/history/batch={number}")
-        open_.write.mode("overwrite").parquet(f"{folder}/current/batch={number}")
-
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+class IntervalStore:
+    """``current`` and ``history`` tables under a folder, kept by a stream of snapshots.
+
+    ``late``: seconds a message may come after a newer one; messages wait that long and are applied in header
+    order, so the tables do not depend on the order of arrival. Without it all rows are applied as they come:
+    within a batch in header order, and a message not newer than the last one its key took before changes nothing.
 
+    ``stale_days``: predictions of days long over close at the moment the event time (the newest header applied)
+    passes ``day_over`` and leave ``current``, whose size is then that of the live days; a message about such a day
+    after that moment is not a prediction any more and changes nothing. The batch form of this is
+    ``operators.ingest.close_out``, which closes at the time it runs.
 
-def stored_intervals(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(current, history) as the last batch left them; ``schema`` is that of the history."""
-    history = spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/history")
-    current = spark.read.schema(f"{schema.rpartition(', ')[0]}, batch int").parquet(f"{folder}/current")
-    last = current.agg(F.max("batch")).scalar()
-    return current.filter(F.col("batch") == last).drop("batch"), history.drop("batch")
+    A batch rewrites only the units (day and bucket of the key) that its rows or the expiry touch."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, value: list[str], carried: tuple[str, ...] = ("scheduled_time",),
+                 late: float | None = None, stale_days: int | None = None, buckets: int = 16):
+        """``schema``: that of the history."""
+        self.spark, self.folder, self.history_schema = spark, folder, schema
+        self.value, self.carried, self.stale_days = value, carried, stale_days
+        kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema)}
+        self.states = States(spark, folder)
+        self.current_schema = ", ".join(f"{n} {k}" for n, k in kinds.items() if n != "closed_at")
+        self.table = KeyedTable(spark, f"{folder}/current", self.current_schema, KEY, "start_date", buckets)
+        arrived = ", ".join([f"{n} {kinds[n]}" for n in (*KEY, *value, *carried)] + ["header_timestamp timestamp", "fetch_id long"])
+        self.held = HeldBack(spark, folder, arrived, "header_timestamp", late)
+
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """A message that speaks of a stop twice is taken by its smallest id."""
+        told = F.struct(*self.value, *self.carried, "fetch_id")
+        rows = rows.groupBy(*KEY, "header_timestamp").agg(F.min_by(told, "fetch_id").alias("told"))
+        return rows.select(*KEY, "told.*", "header_timestamp")
+
+    def apply(self, snapshots: DataFrame, number: int, all_: bool = False) -> None:
+        before = self.states.before(number)
+        rows, state = self.held.take(snapshots, before, number, self._once, all_)
+        if self.stale_days is not None:
+            over = day_over(self.stale_days)
+            rows = rows.filter(F.coalesce(F.col("header_timestamp") < over, F.lit(True)))
+            if before.applied is not None:
+                rows = rows.filter(F.coalesce(F.unix_micros(over) > before.applied, F.lit(True)))
+        touched = self.table.units(rows)
+        old = self.table.read({u: n for u, n in before.units.items() if u in touched})
+        stored = old.select(*KEY, F.col("last_seen_at").alias("stored_until"))
+        same_key = F.lit(True)
+        for k in KEY:
+            same_key &= F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
+        rows = rows.alias("r").join(stored.alias("s"), same_key, "left").filter("stored_until is null or header_timestamp > stored_until").select("r.*")
+        names = rows.select(*KEY).distinct()
+        known = old.alias("r").join(names.alias("s"), same_key, "left_semi")
+        ends = F.explode(F.array_distinct(F.array("first_seen_at", "last_seen_at")))
+        seen = known.select(*KEY, *self.value, *self.carried, F.col("first_fetch_id").alias("fetch_id"), ends.alias("header_timestamp"))
+        runs = intervals(rows.unionByName(seen), value=self.value, carried=self.carried)
+        runs = runs.unionByName(old.alias("r").join(names.alias("s"), same_key, "left_anti").withColumn("closed_at", F.lit(None).cast("timestamp")))
+        gone: set[str] = set()
+        if self.stale_days is not None:
+            gone = {u for u in before.units if u not in touched and self._is_over(u, state.applied)}
+            resting = self.table.read({u: before.units[u] for u in gone}).withColumn("closed_at", F.lit(None).cast("timestamp"))
+            ended = F.unix_micros(over) <= state.applied
+            runs = runs.unionByName(resting).withColumn("closed_at", F.coalesce("closed_at", F.when(ended, over)))
+        runs = runs.persist()
+        closed = runs.filter("closed_at is not null")
+        closed.select(*[f.name for f in StructType.fromDDL(self.history_schema)]).write.mode("overwrite").parquet(f"{self.folder}/history/batch={number}")
+        written = self.table.write(runs.filter("closed_at is null"), number)
+        runs.unpersist()
+        state = replace(state, units={u: n for u, n in before.units.items() if u not in touched and u not in gone} | written)
+        self.states.commit(state)
+        self.table.clean(before, state)
+        self.held.clean(before, state)
+
+    def _is_over(self, unit: str, applied: int) -> bool:
+        day = unit.split("/")[0].partition("=")[2]
+        if day == NO_DAY:
+            return False
+        over = datetime.fromisoformat(day).replace(tzinfo=timezone.utc) + timedelta(days=self.stale_days + 1)
+        return over.timestamp() * 1e6 <= applied
+
+    def finish(self) -> None:
+        """Applies what still waits, as if nothing more came. Later batches go on from the state before."""
+        self.apply(self.spark.createDataFrame([], self.held.schema), self.states.before(ended=False).number + 1, all_=True)
+
+    def current(self) -> DataFrame:
+        return self.table.read(self.states.before().units)
+
+    def history(self) -> DataFrame:
+        """Of batches that were committed."""
+        rows = self.spark.read.schema(f"{self.history_schema}, batch int").parquet(f"{self.folder}/history")
+        return rows.filter(F.col("batch") <= self.states.before().number).drop("batch")
+
+
+def store_intervals(stream: DataFrame, folder: str, checkpoint: str, schema: str, value: list[str], **how) -> IntervalStore:
+    """Process all snapshots there are into the tables of an ``IntervalStore`` and return it."""
+    store = IntervalStore(stream.sparkSession, folder, schema, value, **how)
+    run_batches(stream, store.apply, checkpoint)
+    return store
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

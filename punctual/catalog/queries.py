@@ -29,6 +29,8 @@ from punctual.session import shared_folder
 from punctual.sources import fixtures as fx
 from punctual.sources import gtfs, realtime, weblog
 from punctual.streaming import predictions as streaming
+from punctual.streaming.keyed import run_batches
+from punctual.streaming.silence import SilenceStore
 
 AS_OF, LIVE = fx.AS_OF, fx.LIVE
 START30 = date(2023, 12, 30)
@@ -193,6 +195,45 @@ query("s17_expired_stream_current", lambda t: expiring_stream(t).current().selec
 query("s17_expired_stream_history", lambda t: expiring_stream(t).history().select(*RUN_COLUMNS))
 query("s17_current_after_close_out", lambda t: ingest.close_out(t["prediction_current"], t["prediction_history"], AS_OF)[0])
 query("s17_history_after_close_out", lambda t: ingest.close_out(t["prediction_current"], t["prediction_history"], AS_OF)[1])
+
+
+def watermarked(make: Callable[[DataFrame], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """A query under a watermark over the polls, which arrive in three parts, some of them minutes late; after each
+    part the stream stops, and it goes on from its checkpoint."""
+
+    def run(t: Tables) -> DataFrame:
+        folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+        rows = polls(t)
+        part = F.floor((F.unix_seconds("fetched_at") + F.when(F.col("poll_id") % 3 == 0, 300).otherwise(0)) / (10 * 86400))
+        for (p,) in sorted(rows.select(part.alias("p")).distinct().collect()):  # a row for ten days of the collection
+            rows.filter(part == p).write.mode("append").parquet(f"{folder}/in")
+            told = make(t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+            streaming.run_available(told, f"{folder}/out", f"{folder}/checkpoint")
+        return t.spark.read.schema(told.schema).parquet(f"{folder}/out")
+
+    return run
+
+
+query("s11_new_messages_stream", watermarked(streaming.first_messages))
+query("s12_counts_stream", watermarked(streaming.counts))
+SILENT_S = 1200
+
+
+def silence_stream(t: Tables) -> DataFrame:
+    """Polls arriving in three parts, one feed stopping before the others, half of each part an hour late."""
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    kept = polls(t).filter("feed <> 'alerts' or fetched_at < timestamp '2024-01-29'").select("feed", F.col("fetched_at").alias("at"), "poll_id")
+    part = F.floor((F.unix_seconds("at") - F.when(F.col("poll_id") % 2 == 0, 3600).otherwise(0)) / (10 * 86400))
+    store = SilenceStore(t.spark, folder, SILENT_S, late=3600)
+    for (p,) in sorted(kept.select(part.alias("p")).distinct().collect()):  # a row for ten days of the collection
+        kept.filter(part == p).select("feed", "at").write.mode("append").parquet(f"{folder}/in")
+        source = t.spark.readStream.schema("feed string, at timestamp").parquet(f"{folder}/in")
+        run_batches(source, store.apply, f"{folder}/checkpoint")
+    store.finish()
+    return store.closed().unionByName(store.silent_now()).withColumn("gap_s", F.floor("gap_s"))
+
+
+query("d1_silences_stream", silence_stream)
 query("s18_kept_positions", lambda t: ingest.drop_before(t, date(2024, 1, 10))["vehicle_position"].groupBy("start_date").agg(
     F.count(F.lit(1)).alias("n"), F.count_distinct("vehicle_id").alias("vehicles")))
 query("s18_orphans", lambda t: ingest.orphans({n: t[n] for n in ("fetch", "vehicle_position", "trip_update", "prediction_current")}))

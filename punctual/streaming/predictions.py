@@ -17,12 +17,24 @@ from punctual.streaming.keyed import NO_DAY, HeldBack, KeyedTable, States, run_b
 
 
 def new_messages(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The first message per (feed, header time), with the state bounded by a watermark."""
+    """The first message per (feed, header time) as soon as it comes, with the state bounded by a watermark. Which
+    of several in one micro-batch is kept is left open; ``first_messages`` says it. A message more than ``late``
+    behind the newest header is dropped."""
     return stream.withWatermark("header_timestamp", late).dropDuplicatesWithinWatermark(["feed", "header_timestamp"])
 
 
+def first_messages(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The earliest poll of each (feed, header time), once the watermark has passed the header: until then a
+    poll that comes late can still be the earlier one, afterwards it changes nothing. ``operators.ingest.new_messages``
+    is the batch form."""
+    rest = [c for c in stream.columns if c not in ("feed", "header_timestamp")]
+    first = F.min_by(F.struct(*rest), F.struct("fetched_at", "poll_id")).alias("m")
+    return stream.withWatermark("header_timestamp", late).groupBy("feed", "header_timestamp").agg(first).select("feed", "header_timestamp", "m.*")
+
+
 def counts(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes", at: str = "fetched_at") -> DataFrame:
-    """Messages per feed and window."""
+    """Messages per feed and window, each window once, when the watermark has passed its end. Messages up to
+    ``late`` behind the newest one count; later ones do not, once their window is told."""
     return (
         stream.withWatermark(at, late)
         .groupBy(F.window(at, width).alias("w"), "feed")

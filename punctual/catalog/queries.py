@@ -29,6 +29,7 @@ from punctual.session import shared_folder
 from punctual.sources import fixtures as fx
 from punctual.sources import gtfs, realtime, weblog
 from punctual.streaming import predictions as streaming
+from punctual.streaming import replay
 from punctual.streaming.keyed import run_batches
 from punctual.streaming.silence import SilenceStore
 
@@ -234,6 +235,45 @@ def silence_stream(t: Tables) -> DataFrame:
 
 
 query("d1_silences_stream", silence_stream)
+DAY_FILES = "yyyy-MM-dd"
+
+
+def archive_streamed(part: Callable[[DataFrame], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """An archive of the messages, read as a stream of some files at a time."""
+
+    def run(t: Tables) -> DataFrame:
+        folder = f"{shared_folder(t.spark)}/archive-{uuid.uuid4().hex}"
+        realtime.write_archive(fx.archive_lines(t), f"{folder}/raw", DAY_FILES)
+        rows = part(replay.scan_feeds(t.spark, f"{folder}/raw", streaming=True, files_per_trigger=8))
+        streaming.run_available(rows, f"{folder}/out", f"{folder}/checkpoint")
+        return t.spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+    return run
+
+
+query("s6_archive_scan", archive_streamed(lambda scan: realtime.archived_messages(scan).select(
+    "feed", "header_timestamp", F.size("message.entity").alias("entities"), F.col("message.header.timestamp").alias("said"))))
+query("s6_archive_rejects", archive_streamed(lambda scan: realtime.archive_rejects(scan).select("feed", "filed_at", "problem")))
+
+
+def rebuilt_and_live(t: Tables) -> DataFrame:
+    """The archive filling in three parts, messages up to two hours late and in no order, followed live; and the
+    whole archive rebuilt in one batch. The tables must come out the same."""
+    folder = f"{shared_folder(t.spark)}/replay-{uuid.uuid4().hex}"
+    lines = fx.archive_lines(t)
+    arrival = F.unix_seconds("header_timestamp") + F.col("fetch_id") * 7919 % 7200
+    part = F.floor(arrival / (10 * 86400))
+    store = replay.LiveStore(t.spark, folder, late=7200, buckets=4)
+    for (p,) in sorted(lines.select(part.alias("p")).distinct().collect()):  # a row for ten days of the collection
+        realtime.write_archive(lines.filter(part == p), f"{folder}/raw", DAY_FILES)
+        replay.follow(replay.scan_feeds(t.spark, f"{folder}/raw", streaming=True), store, f"{folder}/checkpoint")
+    store.finish()
+    names = ("vehicle_position", "trip_update", "alert", "prediction_current", "prediction_history")
+    live, again = store.tables(), replay.rebuild(realtime.archived_messages(replay.scan_feeds(t.spark, f"{folder}/raw")))
+    return replay.fingerprints({n: live[n] for n in names}, "live").unionByName(replay.fingerprints({n: again[n] for n in names}, "rebuilt"))
+
+
+query("s19_rebuild_fingerprint", rebuilt_and_live)
 query("s18_kept_positions", lambda t: ingest.drop_before(t, date(2024, 1, 10))["vehicle_position"].groupBy("start_date").agg(
     F.count(F.lit(1)).alias("n"), F.count_distinct("vehicle_id").alias("vehicles")))
 query("s18_orphans", lambda t: ingest.orphans({n: t[n] for n in ("fetch", "vehicle_position", "trip_update", "prediction_current")}))

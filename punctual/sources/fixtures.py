@@ -509,6 +509,19 @@ def messages(t: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def archive_lines(t: Mapping[str, DataFrame]) -> DataFrame:
+    """The same messages as archived text: a third of them in each feed, one per feed and second, a few cut
+    short and a few without entities."""
+    feed = F.expr("element_at(array('trip_updates', 'vehicle_positions', 'alerts'), cast(fetch_id % 3 as int) + 1)")
+    text = F.to_json("message")
+    cut = F.when(F.col("fetch_id") % 97 == 0, F.expr("left(text, length(text) - 10)")).when(
+        F.col("fetch_id") % 101 == 0, F.concat(F.lit('{"header":{"timestamp":'), F.unix_seconds("header_timestamp"), F.lit("}}"))
+    )
+    rows = messages(t).select(feed.alias("feed"), "header_timestamp", "fetch_id", text.alias("text"))
+    first = rows.groupBy("feed", "header_timestamp").agg(F.min_by(F.struct("fetch_id", "text"), "fetch_id").alias("m"))
+    return first.select("feed", "header_timestamp", "m.*").withColumn("text", F.coalesce(cut, "text"))
+
+
 def alert_table(t: Mapping[str, DataFrame]) -> DataFrame:
     """Stored alerts: three per alerts message, with periods that have or have not ended."""
     end = "if(j = 0, 1706400000, if(j = 1, 1709000000, null))"

@@ -1,13 +1,16 @@
-"""Realtime messages: the archive scan and the flattening of vehicles, trip updates and alerts."""
+"""Realtime messages: the archive, its scan, and the flattening of vehicles, trip updates and alerts."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual import schemas
 from punctual.config import DEFAULT, Config
-from punctual.functions.timeutil import service_day
+from punctual.functions.timeutil import lit_ts, service_day
+from punctual.plans.files import Files
 
 FEEDS = ("trip_updates", "vehicle_positions", "alerts")
 
@@ -21,28 +24,84 @@ def _moment(epoch: Column) -> Column:
     return F.timestamp_seconds(F.nullif(epoch, F.lit(0)))
 
 
-def read_archive(spark: SparkSession, root: str, feed: str, streaming: bool = False) -> DataFrame:
-    """Archived messages of one feed, ``<root>/<feed>/yyyy/mm/dd/<header epoch>.json[.gz]``: the
-    header time comes from the file name. One JSON message per file."""
-    reader = spark.readStream if streaming else spark.read
-    text = (
-        reader.format("text")
-        .schema("value string")
-        .option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .load(f"{root.rstrip('/')}/{feed}")
-    )
+HOUR = "yyyy-MM-dd-HH"
+_NOT_JSON, _NO_ENTITIES, _NO_TIME = "not a message", "no entities", "no header time"
+
+
+def write_archive(lines: DataFrame, root: str, period: str = HOUR) -> None:
+    """``lines(feed, header_timestamp, text)``, a message each, into ``<root>/<feed>/hour=<period>/``: compressed text files
+    of many messages. Rows of one period share a file unless they are many."""
+    for feed in FEEDS:
+        (
+            lines.filter(F.col("feed") == feed)
+            .select(F.date_format("header_timestamp", period).alias("hour"), "text")
+            .hint("rebalance", "hour")
+            .write.mode("append")
+            .partitionBy("hour")
+            .option("compression", "gzip")
+            .text(f"{root.rstrip('/')}/{feed}")
+        )
+
+
+def scan_archive(
+    spark: SparkSession, root: str, feed: str, streaming: bool = False, since: datetime | None = None, files_per_trigger: int | None = None
+) -> DataFrame:
+    """Every line of one feed's archive, told apart into messages and what is none (``problem``).
+
+    Two layouts are read: ``.../<header epoch>.json[.gz]``, where the name is the header time, and files of many messages
+    below ``hour=<period>``, where the message says its own time and the period stands in for it. ``since`` leaves out
+    whole periods before it unread. As a stream, files come oldest first, so many at a time."""
+    place = f"{root.rstrip('/')}/{feed}"
+    places = [place]
+    if since is not None and not streaming:
+        first = since.strftime("hour=%Y-%m-%d-%H")
+        kept = [n for n in Files(spark, place).names(place) if not n.startswith("hour=") or n >= first[: len(n)]]
+        places = [f"{place}/{n}" for n in kept]
+    if not places:
+        text = spark.createDataFrame([], "value string")
+    elif streaming:
+        reader = spark.readStream.format("text").schema("value string").option("recursiveFileLookup", "true")
+        text = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(place)
+    else:
+        text = spark.read.format("text").schema("value string").option("recursiveFileLookup", "true").load(places)
     path = F.input_file_name()
-    return text.select(
+    named = F.regexp_extract(path, r"/(\d+)\.[^/]*$", 1)
+    hour = F.regexp_extract(path, r"/hour=([\d-]+)/", 1)
+    period = F.coalesce(F.try_to_timestamp(hour, F.lit(HOUR)), F.try_to_timestamp(hour, F.lit("yyyy-MM-dd")))
+    lines = text.select(
         F.lit(feed).alias("feed"),
-        F.timestamp_seconds(F.regexp_extract(path, r"/(\d+)\.[^/]*$", 1).cast("long")).alias(
-            "header_timestamp"
-        ),
+        F.when(named != "", F.timestamp_seconds(named.cast("long"))).alias("__named"),
+        period.alias("__period"),
         F.regexp_extract(path, rf"({feed}/.*)$", 1).alias("archive_path"),
         F.octet_length("value").alias("byte_size"),
         F.sha2("value", 256).alias("sha256"),
-        F.from_json("value", schemas.MESSAGE_DDL).alias("message"),
+        F.from_json("value", f"{schemas.MESSAGE_DDL},_unread string", {"columnNameOfCorruptRecord": "_unread"}).alias("m"),
+    ).filter("byte_size > 0")
+    read = lines.withColumn("header_timestamp", F.coalesce("__named", _moment(F.col("m.header.timestamp")), "__period"))
+    problem = (
+        F.when(F.col("m._unread").isNotNull() | F.col("m").isNull(), _NOT_JSON)
+        .when(F.col("m.entity").isNull(), _NO_ENTITIES)
+        .when(F.col("header_timestamp").isNull(), _NO_TIME)
     )
+    out = read.select(
+        "feed", "header_timestamp", "archive_path", "byte_size", "sha256", F.col("m").dropFields("_unread").alias("message"),
+        problem.alias("problem"), F.coalesce("__named", "__period").alias("filed_at"),
+    )
+    return out if since is None else out.filter(F.col("header_timestamp").isNull() | (F.col("header_timestamp") >= lit_ts(since)))
+
+
+def archived_messages(scan: DataFrame) -> DataFrame:
+    return scan.filter("problem is null").drop("problem", "filed_at")
+
+
+def archive_rejects(scan: DataFrame) -> DataFrame:
+    """What of an archive cannot be stored, and why: to be looked at, not lost."""
+    return scan.filter("problem is not null").select("feed", "filed_at", "archive_path", "byte_size", "sha256", "problem")
+
+
+def read_archive(spark: SparkSession, root: str, feed: str, streaming: bool = False, **how) -> DataFrame:
+    """The messages of one feed's archive; ``scan_archive`` says what else is in it."""
+    return archived_messages(scan_archive(spark, root, feed, streaming, **how))
 
 
 def with_header(messages: DataFrame) -> DataFrame:

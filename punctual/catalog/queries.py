@@ -355,7 +355,7 @@ def straight_walk(t: Tables) -> DataFrame:
 
 
 query("g5_shape_walk", straight_walk)
-query("g6_live_placement", lambda t: live.next_stops(t, LIVE))
+query("g6_live_placement", lambda t: live.next_stops(t, LIVE).select("vehicle_id", "bus_frac", "feed_seq"))
 query("t10_stop_shape_fractions", lambda t: geometry.stop_shape_fractions(t))
 query("t11_positions_along_shape", lambda t: geometry.positions_along_shape(t))
 

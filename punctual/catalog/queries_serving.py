@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.catalog.queries import AS_OF, CFG, LIVE, START30, Tables, polls, query
@@ -19,7 +20,15 @@ CHECK_DAY = date(2024, 1, 25)
 
 query("q1_live_buses", lambda t: live.live_buses(t, LIVE))
 query("q2_live_status_bands", lambda t: live.status_bands(t, LIVE))
-query("q3_next_two_stops", lambda t: live.next_stops(t, LIVE))
+
+
+def next_two_stops(t: Tables) -> DataFrame:
+    """Paths as text: points in order, five digits of a degree."""
+    told = lambda c: F.array_join(F.transform(c, lambda p: F.format_string("%.5f %.5f", p["lon"], p["lat"])), ", ")
+    return live.next_stops(t, LIVE).withColumn("path1", told("path1")).withColumn("path2", told("path2"))
+
+
+query("q3_next_two_stops", next_two_stops)
 query("q4_coming_up", lambda t: live.coming_up(t, LIVE))
 query("q4_coming_up_route", lambda t: live.coming_up(t, LIVE, route_id="R2"))
 query("q5_just_left", lambda t: live.just_left(t, LIVE))

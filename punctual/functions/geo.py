@@ -42,10 +42,11 @@ def utm(lon: Column, lat: Column, zone: int = 10) -> tuple[Column, Column]:
 
 
 def distance_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle metres; within 0.5 % of the ellipsoid."""
+    """Great-circle metres; within 0.5 % of the ellipsoid. Null where a coordinate is."""
     dlat = F.radians(lat2 - lat1) / 2
     dlon = F.radians(lon2 - lon1) / 2
     chord = F.pow(F.sin(dlat), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(dlon), F.lit(2.0)
     )
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    # rounding can take the chord just over 1; ``least`` would take 1 for a null as well
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(chord > 1, F.lit(1.0)).otherwise(chord)))

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from punctual.config import DEFAULT, Config
 from punctual.functions.geo import distance_m, utm
-from punctual.functions.shapewalk import Line, Walker, nearest_between
+from punctual.functions.lines import nearest_fraction
+from punctual.functions.shapewalk import Line, Lines, walk_together
 from punctual.functions.timeutil import seconds
 
 Tables = Mapping[str, DataFrame]
@@ -69,8 +70,9 @@ def shape_walk(
     points in order along the group's line (``lines``: keys, xs, ys). Groups without a line drop out.
 
     Each group's line is sent as one row sorted ahead of its points, and the task streams over the
-    sorted rows keeping only the current line and the furthest place reached. So a line is shipped
-    once per group instead of once per point, and a group of any length needs constant memory."""
+    sorted rows; between Arrow batches it keeps only the last line and the furthest place reached. So a
+    line is shipped once per group instead of once per point, and a group of any length needs constant
+    memory. Inside a batch all groups, and the pieces of long ones, advance together."""
     keys, order = list(keys), list(order)
     fields = [f for f in points.schema.fields]
     array = "array<double>"
@@ -98,31 +100,43 @@ def shape_walk(
     names = [f.name for f in fields]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walker = Walker(cfg)
-        current = None
+        current, line, furthest, last_s = None, None, np.nan, 0.0
         for batch in batches:
-            group = batch.column(_LINE).to_pylist()
+            if batch.num_rows == 0:
+                continue
+            group = batch.column(_LINE).dictionary_encode()
+            codes = group.indices.to_numpy(zero_copy_only=False)
             is_line = np.asarray(batch.column("__rank").to_numpy(zero_copy_only=False)) == 0
             xs, ys = batch.column("__xs"), batch.column("__ys")
-            px = batch.column("x").to_numpy(zero_copy_only=False)
-            py = batch.column("y").to_numpy(zero_copy_only=False)
-            at = batch.column("at_s").to_numpy(zero_copy_only=False)
+            px, py, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "at_s"))
+            bounds = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True])
+            trips: list[tuple] = []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                name = group.dictionary[int(codes[lo])].as_py()
+                if name != current:
+                    current, line, furthest, last_s = name, None, np.nan, 0.0
+                while lo < hi and is_line[lo]:
+                    line = Line(xs[int(lo)].values.to_numpy(), ys[int(lo)].values.to_numpy())
+                    lo += 1
+                if line is not None and lo < hi:
+                    trips.append((line, lo, hi, furthest, last_s))
+            if not trips:
+                continue
+            shapes, starts, ends, reached, times = zip(*trips, strict=True)
+            starts, ends = np.array(starts), np.array(ends)
+            frac, off, far = walk_together(
+                Lines(list(shapes)), np.arange(len(trips)), starts, ends, at, px, py, np.array(reached), np.array(times), cfg
+            )
+            if bounds[-1] == ends[-1]:  # the next batch may go on with the last trip
+                furthest, last_s = far[ends[-1] - 1], at[ends[-1] - 1]
             keep = np.zeros(batch.num_rows, dtype=bool)
-            frac = np.full(batch.num_rows, np.nan)
-            off = np.full(batch.num_rows, np.nan)
-            for i in range(batch.num_rows):
-                if is_line[i]:
-                    current = group[i]
-                    walker.begin(Line(xs[i].values.to_numpy(), ys[i].values.to_numpy()))
-                elif group[i] == current:
-                    frac[i], off[i] = walker.place(at[i], px[i], py[i])
-                    keep[i] = True
-            if keep.any():
-                kept = batch.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays(
-                    [kept.column(n) for n in names] + [pa.array(frac[keep]), pa.array(off[keep])],
-                    names=[*names, "frac", "dist_m"],
-                )
+            for lo, hi in zip(starts, ends, strict=True):
+                keep[lo:hi] = True
+            kept = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column(n) for n in names] + [pa.array(frac[keep]), pa.array(off[keep])],
+                names=[*names, "frac", "dist_m"],
+            )
 
     return rows.mapInArrow(walk, out_schema)
 
@@ -212,15 +226,5 @@ def positions_along_shape(
 
 def place_on_stretch(buses: DataFrame) -> DataFrame:
     """Adds bus_frac: the nearest point of a bus between two fractions of its line (columns x, y,
-    xs, ys, lo, hi). One live report per bus, so an Arrow-batched function over the fleet."""
-
-    @F.pandas_udf("double")
-    def nearest(x, y, xs, ys, lo, hi):
-        import pandas as pd
-
-        return pd.Series(
-            [nearest_between(Line(a, b), px, py, f, g) for px, py, a, b, f, g in zip(x, y, xs, ys, lo, hi)],
-            dtype=float,
-        )
-
-    return buses.withColumn("bus_frac", nearest("x", "y", "xs", "ys", "lo", "hi"))
+    line, lo, hi)."""
+    return buses.withColumn("bus_frac", nearest_fraction(*map(F.col, ("line", "x", "y", "lo", "hi"))))

@@ -27,6 +27,7 @@ from punctual.functions.timeutil import (
     to_local,
     weekday_type,
 )
+from punctual.functions.lines import piece
 from punctual.operators.geometry import place_on_stretch
 from punctual.operators.schedule import timepoint_flag
 
@@ -211,8 +212,9 @@ def status_bands(t: Tables, as_of: datetime, cfg: Config = DEFAULT) -> DataFrame
 def next_stops(
     t: Tables, as_of: datetime, cfg: Config = DEFAULT, buses: DataFrame | None = None, lines: DataFrame | None = None
 ) -> DataFrame:
-    """The next two stops from where each bus is on its shape. The feed's own next stop only says
-    which pass of a street it is on: the bus is looked for between two stops either side of it."""
+    """The next two stops from where each bus is on its shape, with the pieces of the line that lead to them
+    (points of longitude and latitude). The feed's own next stop only says which pass of a street
+    it is on: the bus is looked for between two stops either side of it."""
     fv = version_in_force(t, as_of, cfg)
     if buses is None:
         buses = hinted_stops(latest_reports(t, as_of), t).withColumn("hint_seq", F.col("p1.stop_sequence"))
@@ -239,17 +241,20 @@ def next_stops(
     placed = place_on_stretch(
         on_trip.withColumn("lo", F.coalesce(at(-2), F.lit(0.0)))
         .withColumn("hi", F.coalesce(at(2), F.lit(1.0)))
-        .withColumn("xs", F.transform("line", lambda p: p["x"]))
-        .withColumn("ys", F.transform("line", lambda p: p["y"]))
-    ).select("vehicle_id", "trip_id", "start_date", "hint_seq", "bus_frac", "length_m", "stops")
+    )
     clear = F.col("bus_frac") + F.lit(cfg.next_stop_clearance_m) / F.nullif("length_m", F.lit(0.0))
     ahead_of = (
         placed.withColumn("clear", clear)
         .withColumn("two", F.slice(F.filter("stops", lambda s: s["frac"] > F.col("clear")), 1, 2))
-        .select("vehicle_id", "trip_id", "start_date", "hint_seq", "bus_frac", F.posexplode("two").alias("i", "s"))
+        .withColumn("reached", F.transform("two", lambda s: s["frac"]))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(1))))
+        .filter(F.col("i") < F.size("two"))
+        .withColumn("s", F.get("two", F.col("i")))
         .select(
             "vehicle_id", "trip_id", "start_date", "hint_seq", "bus_frac", (F.col("i") + 1).alias("n"),
             F.col("s.seq").alias("stop_sequence"), "s.stop_id", "s.frac",
+            # the line to draw: from the bus to the first stop, from there to the second
+            piece(F.col("line"), F.when(F.col("i") == 0, F.col("bus_frac")).otherwise(F.get("reached", F.lit(0))), F.col("s.frac")).alias("path"),
         )
     )
     timed = with_schedule(
@@ -265,6 +270,7 @@ def next_stops(
         "frac",
         F.coalesce("predicted", "scheduled").alias("at"),
         F.when(F.col("predicted").isNotNull(), cfg.source_feed).otherwise("timetable").alias("src"),
+        "path",
     )
     both = timed.groupBy("vehicle_id", "bus_frac", "hint_seq").agg(
         F.max(F.when(F.col("n") == 1, s)).alias("a"), F.max(F.when(F.col("n") == 2, s)).alias("b")
@@ -274,6 +280,7 @@ def next_stops(
         for i, side in ((1, "a"), (2, "b"))
         for f, name in (
             ("stop_sequence", "seq"), ("stop_id", "stop_id"), ("stop_name", "name"), ("frac", "frac"), ("at", "time"), ("src", "src"),
+            ("path", "path"),
         )
     ]
     return both.filter(F.col("a").isNotNull()).select(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from punctual.catalog.sqltext import portable
 from punctual.config import DEFAULT as CFG
-from punctual.functions import bands, histograms, timeutil
+from punctual.functions import bands, histograms, lines, timeutil
+from punctual.functions.geo import utm
 from punctual.operators import (
     arrivals,
     changes,
@@ -309,8 +310,6 @@ query("s23_kept_steps", kept_steps)
 
 
 def utm_stops(t: Tables) -> DataFrame:
-    from punctual.functions.geo import utm
-
     x, y = utm(F.col("stop_lon"), F.col("stop_lat"))
     return t["stops"].select("feed_version_id", "stop_id", x.alias("x"), y.alias("y"))
 
@@ -355,6 +354,43 @@ def straight_walk(t: Tables) -> DataFrame:
 
 
 query("g5_shape_walk", straight_walk)
+
+
+def first_passes(t: Tables) -> DataFrame:
+    """Every timed stop on the first pass of its trip's whole shape."""
+    key = ["feed_version_id", "trip_id"]
+    x, y = utm(F.col("stop_lon"), F.col("stop_lat"))
+    place = lines.first_pass(F.col("line"), x, y, F.lit(0.0), F.lit(1.0))
+    return (
+        t["stop_times"].join(t["stops"], ["feed_version_id", "stop_id"]).join(t["trips"].select(*key, "shape_id"), key)
+        .join(geometry.shape_lines(t), ["feed_version_id", "shape_id"])
+        .select(*key, "stop_sequence", place.alias("p")).select(*key, "stop_sequence", "p.frac", "p.dist_m"))
+
+
+query("g4_first_pass", first_passes)
+#: Lines that bend, close, and come back along the same street, in metres.
+CORNERS = {"bent": [(0, 0), (2000, 0), (2000, 1500), (4000, 1500)], "loop": [(0, 0), (2000, 0), (2000, 2000), (0, 2000), (0, 0)],
+           "back": [(0, 0), (1500, 0), (3000, 0), (3000, 14), (1500, 14), (0, 14)]}
+ROAD = "element_at(array('bent', 'loop', 'back'), cast(user_id % 3 as int) + 1)"
+
+
+def cornered_walk(t: Tables) -> DataFrame:
+    """A user's events of a day as points along one of these lines, jumping about and leaving it now and then."""
+    points = t["events"].select(
+        F.concat("user_id", F.lit("/"), F.to_date("ts")).alias("trip"), F.expr(ROAD).alias("road"), "event_id",
+        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("double").alias("at_s"))
+    made = t.spark.createDataFrame(
+        [(n, [float(x) for x, _ in c], [float(y) for _, y in c]) for n, c in CORNERS.items()], "road string, xs array<double>, ys array<double>")
+    # noise and the odd place far off the line, by whole numbers that both engines make
+    noisy = points.select("trip", "road", "event_id", "at_s",
+        F.expr("(event_id * 7919) % 4000 * 1D").alias("x"), F.expr("if(event_id % 3 = 0, (event_id * 104729) % 2000, (event_id * 31) % 40) * 1D").alias("y"))
+    per_trip = noisy.select("trip", "road").distinct().join(made, "road").select("trip", "xs", "ys")
+    walked = geometry.shape_walk(noisy, per_trip, ["trip"], ["at_s", "event_id"])
+    metres = F.col("frac") * F.expr("case road when 'bent' then 5500 when 'loop' then 8000 else 6014 end")
+    return walked.select("trip", "event_id", metres.alias("at_m"), "dist_m")
+
+
+query("g5_cornered_walk", cornered_walk)
 query("g6_live_placement", lambda t: live.next_stops(t, LIVE).select("vehicle_id", "bus_frac", "feed_seq"))
 query("t10_stop_shape_fractions", lambda t: geometry.stop_shape_fractions(t))
 query("t11_positions_along_shape", lambda t: geometry.positions_along_shape(t))

@@ -97,6 +97,19 @@ def test_nearest_fraction(spark, shapes):
     assert [r[0] for r in dots.collect()] == [0.25, 0.25]
 
 
+def test_first_pass_equals_the_plain_one(spark, shapes):
+    rnd = random.Random(6)
+    cases = []
+    for name in SHAPES:
+        for _ in range(15 if name != "one" else 1):
+            lo = rnd.choice([0.0, rnd.random(), 1.0])
+            cases.append((name, rnd.uniform(-100, 1100), rnd.uniform(-100, 400), lo, lo + rnd.choice([0.0, 0.2, 1.0])))
+    df = spark.createDataFrame(cases, "name string, x double, y double, lo double, hi double").join(shapes, "name")
+    for r in df.withColumn("p", lines.first_pass(*map(F.col, ("line", "x", "y", "lo", "hi")))).collect():
+        frac, off = shapewalk.first_pass(Line(*zip(*SHAPES[r["name"]])), r["x"], r["y"], r["lo"], r["hi"])
+        assert abs(r["p"]["frac"] - frac) < 1e-9 and abs(r["p"]["dist_m"] - off) < 1e-6, r
+
+
 def test_pieces(spark, shapes):
     cuts = [(0.0, 1.0), (0.1, 0.9), (0.3, 0.3), (0.8, 0.2), (-1.0, 2.0), (0.4, 0.41)]
     df = shapes.crossJoin(spark.createDataFrame(cuts, "lo double, hi double"))

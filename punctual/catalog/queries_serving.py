@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from punctual.catalog.queries import AS_OF, CFG, LIVE, START30, Tables, polls, query
 from punctual.functions.names import clean_headsign, clean_stop_name
 from punctual.functions.timeutil import lit_ts, seconds_between
-from punctual.operators import diagnostics, history, live, quality, routes, timetables, visitors
+from punctual.operators import diagnostics, history, live, neighbours, quality, routes, timetables, visitors
 
 STOP, ROUTE, NO_DIRECTION = "S44", "R3", "R19"
 CHECK_DAY = date(2024, 1, 25)
@@ -83,6 +83,9 @@ query("q17_predictions_vs_timetable_by_stop", lambda t: history.predictions_vs_t
     t, "stop_id", START30, where=F.col("route_id") == ROUTE, min_n=5))
 query("q18_stop_report", lambda t: history.stop_report(t, STOP, START30))
 query("q19_departures", lambda t: history.departures(t, STOP, START30, cfg=replace(CFG, min_departure_days=2)))
+query("q20_nearest_of_all_stops", lambda t: neighbours.nearest(
+    t["stops"].filter("location_type = 0").select("feed_version_id", F.col("stop_id").alias("id"), F.col("stop_lon").alias("lon"), F.col("stop_lat").alias("lat")),
+    k=8, by=["feed_version_id"]))
 query("q20_nearby_stops", lambda t: history.nearby_stops(t, AS_OF, STOP))
 query("q21_along_route", lambda t: history.along_route(t, AS_OF, ROUTE, 0, START30))
 query("q21_along_route_without_directions", lambda t: history.along_route(t, AS_OF, NO_DIRECTION, None, START30))

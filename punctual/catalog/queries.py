@@ -493,3 +493,33 @@ query("p9_trend_by_week", lambda t: history.trend(t, max_points=10))
 query("p9_trend_by_month", lambda t: history.trend(t, max_points=2))
 query("p10_stop_places", lambda t: routes.stop_places(t))
 
+
+# --- the chain -----------------------------------------------------------------------------
+
+COLLECTED = ("routes", "stops", "trips", "calendar", "calendar_dates", "stop_times", "shapes", "feed_version", "fetch",
+             "vehicle_position", "prediction_current", "prediction_history")
+_TO_EVENTS = ("feed_version_by_date", "active_services", "shape_lines", "stop_times_filled", "stop_shape_fractions", "scheduled_stop_events",
+              "positions_along_shape", "observed_arrivals", "feed_settled_times", "doubtful_stops", "stop_events")
+
+
+def chain(name: str, *steps: str) -> Callable[[Tables], DataFrame]:
+    """A table of the build from the collected tables alone: every layer is written and feeds the next."""
+
+    def run(t: Tables) -> DataFrame:
+        from punctual.plans.pipeline import Build
+
+        root = f"{shared_folder(t.spark)}/chain-{uuid.uuid4().hex}"
+        return Build(t.spark, root, {n: t[n] for n in COLLECTED}, AS_OF).run(only={*_TO_EVENTS, *steps})[name]
+
+    return run
+
+
+
+
+def to_hundredths(df: DataFrame, *moments: str) -> DataFrame:
+    return df.withColumns({c: F.timestamp_micros((F.round(F.unix_micros(c) / 10_000) * 10_000).cast("long")) for c in moments})
+
+
+query("chain_stop_events", lambda t: to_hundredths(chain("stop_events")(t), "observed_arrival", "scored_time"))
+query("chain_route_daily", chain("mart_route_daily", "mart_route_daily"))
+query("chain_prediction_daily", chain("mart_prediction_daily", "prediction_errors", "countdown_samples", "mart_prediction_daily"))

@@ -9,6 +9,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punctual import schemas
 from punctual.catalog.sqltext import portable
 from punctual.config import DEFAULT as CFG
 from punctual.functions import bands, histograms, lines, timeutil
@@ -84,6 +85,55 @@ def query(name: str, make: Callable[[Tables], DataFrame]) -> None:
 
 query("s1_typed_stop_times", lambda t: gtfs.typed("stop_times", fx.raw_stop_times(t), 7).select(
     "feed_version_id", "trip_id", "stop_sequence", "stop_id", "arrival_seconds", "timepoint", "shape_dist_traveled"))
+
+
+def agencies(t: Tables) -> DataFrame:
+    return t["feed_version"].select(
+        "feed_version_id", F.lit("").alias("agency_id"), F.concat(F.lit("Agency "), "feed_version").alias("agency_name"),
+        F.col("source_url").alias("agency_url"), F.lit("America/Los_Angeles").alias("agency_timezone"))
+
+
+def as_file(df: DataFrame) -> DataFrame:
+    """A schedule table as the text of its file: clock times, compact dates, 1 and 0."""
+    out = []
+    for name, kind in df.drop("feed_version_id").dtypes:
+        c = F.col(name)
+        if name.endswith("_seconds"):
+            clock = F.format_string("%d:%02d:%02d", F.floor(c / 3600), F.floor(c / 60) % 60, c % 60)
+            out.append(F.when(c.isNotNull(), clock).alias(name.replace("_seconds", "_time")))
+        elif kind == "date":
+            out.append(F.date_format(c, "yyyyMMdd").alias(name))
+        elif kind == "boolean":
+            out.append(c.cast("int").cast("string").alias(name))
+        else:
+            out.append(c.cast("string").alias(name))
+    return df.select(*out)
+
+
+def appended_versions(t: Tables) -> DataFrame:
+    """All eight files of every schedule version, written as a download, read back and appended; the newest one
+    twice, as after a failed load. Rows and content by table and version."""
+    folder = f"{shared_folder(t.spark)}/gtfs-{uuid.uuid4().hex}"
+    tables = {name: agencies(t) if name == "agency" else t[name] for name in gtfs.FILES if name != "feed_info"}
+    versions = sorted(r[0] for r in t["feed_version"].select("feed_version_id").distinct().collect())  # a few a year
+    for v in [*versions, versions[-1]]:
+        place = f"{folder}/download-{v}"
+        for name, df in tables.items():
+            as_file(df.filter(F.col("feed_version_id") == v)).write.mode("overwrite").csv(f"{place}/{gtfs.FILES[name]}", header=True, escape='"')
+        gtfs.append_version(gtfs.read_gtfs(t.spark, place, v), f"{folder}/stored")
+    out = None
+    for name in tables:
+        schema = schemas.SCHEDULE[name]
+        text = [F.round(F.col(f.name) * 10000).cast("long") if f.dataType.simpleString() == "double" else F.col(f.name) for f in schema]
+        line = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in text])
+        code = F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("decimal(38,0)")
+        rows = t.spark.read.schema(schema).parquet(f"{folder}/stored/{name}")
+        one = rows.groupBy("feed_version_id").agg(F.count(F.lit(1)).alias("n"), F.sum(code).cast("string").alias("content")).select(F.lit(name).alias("tbl"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+query("s5_versioned_append", appended_versions)
 query("s2_schedule_seconds", lambda t: t["line"].select(
     gtfs.schedule_seconds(F.expr(
         "concat(cast((18000 + (ok * 37) % 86400 + seq * 180) div 3600 as string), ':', (18000 + (ok * 37) % 86400 + seq * 180) div 60 % 60, ':', (18000 + (ok * 37) % 86400 + seq * 180) % 60)"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual import schemas
+from punctual.plans.files import Files
 
 FILES = {
     "agency": "agency.txt",
@@ -116,10 +117,8 @@ def _csv(spark: SparkSession, folder: str, name: str, lines_in_quotes: bool = Fa
 
 
 def file_names(spark: SparkSession, folder: str) -> set[str]:
-    """The files in a download: a handful of names, listed through Spark's own file systems."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
-    rows = listing.select(F.element_at(F.split("path", "/"), -1).alias("name")).collect()
-    return {r["name"] for r in rows}
+    """The files in a download: a handful of names. A large one may be a folder of parts."""
+    return {n for n in Files(spark, folder).names(folder) if n.endswith(".txt")}
 
 
 def check_complete(names: set[str]) -> None:

@@ -334,10 +334,13 @@ query("s20_fingerprint_predictions", lambda t: ingest.fingerprint({n: t[n] for n
 
 
 def orphans_after_cut(t: Tables) -> DataFrame:
-    """Tables without orphans have none after a cut either."""
-    whole = {n: t[n].join(t["fetch"].select("fetch_id"), "fetch_id", "left_semi") for n in ("vehicle_position", "trip_update")}
-    cut = ingest.drop_before({"fetch": t["fetch"], **whole}, date(2024, 1, 10))
-    return ingest.orphans(cut)
+    """Rows that a cut itself made orphans: kept, with a message before it and none after it, in every table."""
+    cut, before = ingest.drop_before(t, date(2024, 1, 10)), t["fetch"].select("fetch_id")
+    pointed = {}
+    for name in ("vehicle_position", "prediction_current", "prediction_history", "trip_update", "alert"):
+        column = "first_fetch_id" if name.startswith("prediction") else "fetch_id"
+        pointed[name] = cut[name].join(before.withColumnRenamed("fetch_id", column), column, "left_semi")
+    return ingest.orphans({"fetch": cut["fetch"], **pointed})
 
 
 query("s18_orphans_after_cut", orphans_after_cut)

@@ -14,7 +14,8 @@ SAMPLE = (
     "s7_vehicle_positions", "s9_stop_time_updates", "s16_prediction_intervals", "s21_access_log", "t7_active_services",
     "t9_scheduled_stop_events", "t12_observed_arrivals", "t14_headways", "m3_stop_events", "m7_lateness", "m9_prediction_daily",
     "m12_route_daily", "q1_live_buses", "q7_stop_buses", "q9_honest_countdown", "q25_stop_timetable", "q37_totals",
-    "d8_timepoint_bump", "d14_storage_ratio", "d20_loads_during_runs", "k2_unique",
+    "s6_archive_rejects", "s12_counts_stream", "s18_orphans_after_cut", "g4_first_pass", "g5_cornered_walk", "q3_next_two_stops",
+    "q20_nearest_of_all_stops", "t10_stop_shape_fractions", "t11_positions_along_shape", "chain_route_daily", "d8_timepoint_bump", "d14_storage_ratio", "d20_loads_during_runs", "k2_unique",
 )
 
 

@@ -204,8 +204,8 @@ query("d25_off_shape", diagnostics.off_shape)
 
 
 def next_stop_check(t: Tables):
-    buses = live.hinted_stops(live.latest_reports(t, LIVE, ahead_min=None), t).withColumn("hint_seq", F.col("p1.stop_sequence"))
-    buses = buses.filter(F.col("position_timestamp") <= live.ahead(LIVE, minutes=5))
+    # the window is cut before a bus's newest report is taken: the tables go on after this moment
+    buses = live.hinted_stops(live.latest_reports(t, LIVE), t).withColumn("hint_seq", F.col("p1.stop_sequence"))
     trips = t["trips"].filter(F.col("feed_version_id") == live.version_in_force(t, LIVE))
     return diagnostics.next_stop_check(buses, live.next_stops(t, LIVE, buses=buses), trips)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.config import DEFAULT, Config
@@ -188,14 +188,8 @@ def fingerprint(t: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def latest_per(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row per key as a window with a rank limit, which Spark applies before the shuffle."""
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-
-
 __all__ = [
     "HISTORY", "PREDICTION", "close_out", "drop_before", "fingerprint", "first_predictions",
-    "latest_per", "new_messages", "new_positions", "new_trip_updates", "not_yet_stored", "orphans",
+    "new_messages", "new_positions", "new_trip_updates", "not_yet_stored", "orphans",
     "unchanged_polls",
 ]

@@ -53,6 +53,17 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used`` and, as the struct ``row``, the whole row under names that clash with nothing."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    return df.select(*used, whole.alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that :func:`packed` put away, with their columns as they were."""
+    return df.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

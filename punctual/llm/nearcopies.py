@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import simhash
-from punctual.llm.common import partitions, release, slices, store, words
+from punctual.llm.common import packed, partitions, release, slices, store, unpacked, words
 from punctual.llm.components import components
 
 WIDTH, LEAST = 5, 0.8
@@ -335,10 +335,10 @@ def members(docs: DataFrame, prints: DataFrame, width: int, least: float) -> Dat
     for spanning in (True, False):
         met = _across(docs, nodes, shared, roots, width, least, spanning)
         rest = store(met.join(pairs, ["a", "b"], "left_anti"), "rest")
-        links = store(links.union(_linked(docs, nodes, rest, width, least)), "linked")
-        pairs = store(pairs.union(rest), "pairs")
-        before, roots = roots, _labels(links, nodes)
-        release(met, rest, before)
+        more, past = store(links.union(_linked(docs, nodes, rest, width, least)), "linked"), (links, pairs, roots, met, rest)
+        links, pairs = more, store(pairs.union(rest), "pairs")
+        roots = _labels(links, nodes)
+        release(*past)
     release(shared, pairs, nodes)
     return roots.withColumnRenamed("node", "fp")
 
@@ -347,7 +347,9 @@ def representatives(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -
     """One row of each group of near copies, with all its columns: the smallest doc_id, ids before none.
 
     Words are lower-cased. Texts without words are one group. Rows without an id are told apart by their texts.
+    Other columns may have any names and stay as they are.
     """
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", simhash.text_hash().alias("text_hash"))
     prints = store(hashed.mapInArrow(_prints(width), "doc_id long, text_hash long, fp long, print long"), "prints")
-    return simhash.first_of_each(docs, prints, members(docs, prints, width, least))
+    first = simhash.first_of_each(packed(docs, "doc_id", "text"), prints, members(docs, prints, width, least))
+    return unpacked(first, docs.columns)

@@ -4,6 +4,7 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_substring import brute as brute_kept
 from tokenizers import Tokenizer
 
@@ -90,6 +91,17 @@ def test_registrations():
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["score", "lang_pred", "_hash", "_n", "_key", "_topic", "_weight", "_kept", "_tokens", "row", "a.b"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, SMALL)
+        assert made.columns == docs.columns, name
+        got = made.collect()
+        assert got and all(r[n] == f"{n}-{r.doc_id}" for r in got for n in names), name
+
+
 def test_stages_on_no_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:

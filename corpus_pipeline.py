@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm import langid, mixing, nearcopies, packing, substring
-from punctual.llm.common import fold, read, store
+from punctual.llm.common import fold, packed, read, store, unpacked
 
 #: Probability that a document's language must have to stay.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -17,8 +17,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language can be told stay: those without a letter, or torn between languages, go."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = langid.fit(docs.where(fold("doc_id", 4) != 2), path)
-    told = langid.predict(docs, model, path)
-    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    told = langid.predict(packed(docs, "text"), model, path)
+    kept = told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return unpacked(kept, docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +29,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long passages that an earlier document holds are cut out of the texts; all documents stay."""
-    return substring.remove(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    cut, length = substring.remove(docs), F.char_length("text").cast("long")
+    return cut.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to flattened shares of source, language and topic."""
-    return mixing.sample(docs).where("_kept").select(*docs.columns)
+    return unpacked(mixing.sample(packed(docs, "doc_id", "text", "source", "lang")).where("_kept"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

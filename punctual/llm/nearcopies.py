@@ -26,6 +26,8 @@ WIDTH, LEAST = 5, 0.8
 CELLS = 1 << 18
 #: Rows of a list that a task compares at once; longer lists are compared as pairs of such blocks.
 BLOCK = 2048
+#: Lists of up to so many rows are compared together, all of a batch at once.
+SHORT = 64
 #: Bits of a set's bitmap for each shingle, and the fewest and most of a bitmap (powers of two).
 BITS, FEWEST, MOST = 4, 256, 1 << 13
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -195,18 +197,48 @@ def _alike(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
     return order[np.concatenate(found_a or none)], order[np.concatenate(found_b or none)]
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+def _alike_short(rows: pa.Table, of: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_alike`, for many short lists at once; ``of`` is each row's list, equal ones adjoining."""
+    size, place, root, block, lower, upper = (rows.column(c).to_numpy().astype(np.int64) for c in ("size", "place", "root", "block", "lower", "upper"))
+    found = [np.zeros(0, np.int64)]
+    for d in range(1, SHORT):
+        i = np.flatnonzero(of[d:] == of[:-d])
+        if not len(i):
+            break
+        j = i + d
+        may = (root[i] != root[j]) & _reachable(size[i], place[i], size[j], place[j], least)
+        may &= (lower[i] == upper[i]) | (block[i] != block[j])
+        found.append(i[may] * SHORT + d)
+    i, d = np.divmod(np.concatenate(found), SHORT)
+    j = i + d
+    used, both = np.unique(np.concatenate([i, j]), return_inverse=True)
+    maps = [np.frombuffer(m, np.uint64) for m in rows.column("bits").take(pa.array(used)).to_pylist()]
+    kept = np.zeros(len(i), bool)
+    for k, (x, y) in enumerate(zip(both[: len(i)].tolist(), both[len(i) :].tolist())):
+        x, y = maps[x], maps[y]
+        if len(x) > len(y):
+            x = x[: len(y)] | x[len(y) :]
+        elif len(y) > len(x):
+            y = y[: len(x)] | y[len(x) :]
+        same = x & y
+        n = int(np.bitwise_count(same).sum())
+        common = min(size[i[k]] - int(np.bitwise_count(x).sum()), size[j[k]] - int(np.bitwise_count(y).sum())) + n
+        kept[k] = common * (1 + least) >= least * (size[i[k]] + size[j[k]]) - 1e-9
+    return i[kept], j[kept]
+
+
+def _spanning(a: list[tuple], b: list[tuple]) -> list[int]:
     """Places of links that connect what all of them connect."""
-    root: dict[int, int] = {}
+    root: dict[tuple, tuple] = {}
 
-    def find(x: int) -> int:
+    def find(x: tuple) -> tuple:
         while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
     keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+    for i, (x, y) in enumerate(zip(a, b)):
         x, y = find(x), find(y)
         if x != y:
             root[x] = y
@@ -217,14 +249,23 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
 def _compared(least: float, spanning: bool):
     """Streams rows sorted by token and pair of blocks; gives pairs of nodes of other roots that may be alike."""
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
+    def given(rows: pa.Table, of: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
-        a, b = _alike(rows, least)
         if spanning:
-            keep = _spanning(root[a], root[b])
+            keep = _spanning(list(zip(of[a].tolist(), root[a].tolist())), list(zip(of[b].tolist(), root[b].tolist())))
             a, b = a[keep], b[keep]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
+    def pairs(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = np.diff(np.r_[starts, rows.num_rows])
+        for s, m in zip(starts[n > SHORT].tolist(), n[n > SHORT].tolist()):
+            whole = rows.slice(s, m)
+            yield given(whole, np.zeros(m, np.int64), *_alike(whole, least))
+        of, short = np.repeat(np.arange(len(n)), n), np.repeat(n <= SHORT, n)
+        rows, of = rows.filter(pa.array(short)).combine_chunks(), of[short]
+        if len(of):
+            yield given(rows, of, *_alike_short(rows, of, least))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
@@ -233,12 +274,12 @@ def _compared(least: float, spanning: bool):
             if not table.num_rows:
                 continue
             of = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("token", "lower", "upper")])
-            starts = np.flatnonzero(np.r_[True, (of[:, 1:] != of[:, :-1]).any(0)]).tolist()
-            for s, e in zip(starts, starts[1:]):
-                yield pairs(table.slice(s, e - s))
+            starts = np.flatnonzero(np.r_[True, (of[:, 1:] != of[:, :-1]).any(0)])
+            if len(starts) > 1:
+                yield from pairs(table.slice(0, starts[-1]), starts[:-1])
             held = table.slice(starts[-1])
         if held is not None and held.num_rows:
-            yield pairs(held)
+            yield from pairs(held, np.zeros(1, np.int64))
 
     return run
 

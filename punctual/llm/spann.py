@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Vectors go to the lists of their nearest centroids, those near a boundary to several. Centroids are few enough
-to be held in memory and are searched through a neighbour graph; a query reads the lists whose centroids are at
-most a fixed ratio farther than its nearest one. The ratio is set from exact neighbours of some queries.
+to be held in memory and all measured; a query reads the lists whose centroids are at most a fixed ratio farther
+than its nearest one. The ratio is set from exact neighbours of some queries.
 Largest inner products become smallest distances by one more coordinate.
 """
 
@@ -25,7 +25,6 @@ LIST_SIZE, MOST_LISTS, COPIES, BOUNDARY = 100, 2048, 4, 1.15
 PART = 4000
 #: Queries whose exact neighbours set the ratio, and the share of those neighbours it must reach.
 CALIBRATION, REACH = 128, 0.97
-DEGREE = 24
 #: Neighbours found that a task holds before it keeps the best of each query.
 HELD = 400_000
 _LISTS = "list int, part int, vec_id long, query boolean, vec array<double>"
@@ -65,52 +64,36 @@ def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 12) -> np.n
     return centroids
 
 
-class Graph:
-    """Centroids with links to their nearest ones and to some far ones, searched best first."""
+class Centroids:
+    """Centroids in memory, all of them measured in one product of matrices.
+
+    They are at most MOST_LISTS. A walk along links from centroid to centroid ends in valleys where the centroids lie
+    without clusters, and the lists it does not meet are lost to the query.
+    """
 
     def __init__(self, centroids: np.ndarray):
         self.centroids = centroids
         self.norms = (centroids**2).sum(1)
-        n = len(centroids)
-        near = np.argsort(self.norms + self.norms[:, None] - 2 * centroids @ centroids.T, axis=1)[:, 1 : DEGREE + 1]
-        far = np.random.default_rng(5).integers(0, n, (n, 4))
-        self.links = np.hstack([near, far])
 
     def search(self, vectors: np.ndarray, ratio: float, least: int) -> np.ndarray:
-        """Distances to the centroids met: all within ``ratio`` of the nearest and at least ``least`` visits; others are inf."""
-        n, rows = len(self.centroids), np.arange(len(vectors))
-        seen = np.full((len(vectors), n), np.inf)
-        open_ = np.full((len(vectors), n), np.inf)
-        own = (vectors**2).sum(1)
-
-        def meet(rows: np.ndarray, at: np.ndarray) -> None:
-            squares = own[rows, None] + self.norms[at] - 2 * np.einsum("rd,rkd->rk", vectors[rows], self.centroids[at])
-            d = np.sqrt(np.maximum(squares, 0))
-            fresh = np.isinf(seen[rows[:, None], at])
-            seen[rows[:, None], at] = d
-            r, k = np.nonzero(fresh)
-            open_[rows[r], at[r, k]] = d[r, k]
-
-        entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
-        meet(rows, np.tile(entries, (len(rows), 1)))
-        visits = 0
-        while len(rows):
-            best = open_[rows].argmin(1)
-            d = open_[rows, best]
-            on = np.isfinite(d) & ((visits < least) | (d <= ratio * seen[rows].min(1)))
-            rows, best = rows[on], best[on]
-            open_[rows, best] = np.inf
-            if len(rows):
-                meet(rows, self.links[best])
-            visits += 1
-        return seen
-
-
-def _home(graph: Graph, vectors: np.ndarray) -> list[np.ndarray]:
+        """Distances to all centroids within ``ratio`` of the nearest and to the ``least`` nearest; others are inf."""
+        squares = (vectors**2).sum(1)[:, None] + self.norms - 2 * vectors @ self.centroids.T
+        d = np.sqrt(np.maximum(squares, 0))
+        least = min(least, d.shape[1])
+        nearest = np.partition(d, least - 1, axis=1)
+        reach = np.maximum(ratio * nearest[:, :least].min(1), nearest[:, least - 1])
+        return np.where(d <= reach[:, None], d, np.inf)
+
+
+#: The name from when centroids were met along links.
+Graph = Centroids
+
+
+def _home(centroids: Centroids, vectors: np.ndarray) -> list[np.ndarray]:
     """The lists of each vector: its nearest centroids, up to COPIES, within BOUNDARY of the nearest."""
     out = []
     for at in range(0, len(vectors), 500):
-        d = graph.search(vectors[at : at + 500], BOUNDARY, 16)
+        d = centroids.search(vectors[at : at + 500], BOUNDARY, 16)
         order = np.argsort(d, axis=1)[:, :COPIES]
         sorted_ = np.take_along_axis(d, order, 1)
         out += [o[s <= BOUNDARY * s[0]] for o, s in zip(order, sorted_)]
@@ -192,7 +175,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
-def _calibrated(vectors: DataFrame, queries: DataFrame, graph: Graph, largest: float, k: int) -> float:
+def _calibrated(vectors: DataFrame, queries: DataFrame, centroids: Centroids, largest: float, k: int) -> float:
     """The least ratio at which REACH of the exact neighbours of some queries are in the lists read."""
     some = queries.orderBy(F.xxhash64(F.lit("calibrate"), "vec_id"), "vec_id").limit(CALIBRATION).collect()
     if not some:
@@ -211,8 +194,8 @@ def _calibrated(vectors: DataFrame, queries: DataFrame, graph: Graph, largest: f
     near = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).collect()
     if not near:
         return 1.0
-    to_lists = dict(zip(ids.tolist(), np.sqrt(np.maximum(((_query(asked)[:, None] - graph.centroids) ** 2).sum(2), 0))))
-    homes = _home(graph, _lifted(np.array([r["vec"] for r in near]), largest))
+    to_lists = dict(zip(ids.tolist(), np.sqrt(np.maximum(((_query(asked)[:, None] - centroids.centroids) ** 2).sum(2), 0))))
+    homes = _home(centroids, _lifted(np.array([r["vec"] for r in near]), largest))
     ratios = [to_lists[r["query_id"]][h].min() / max(to_lists[r["query_id"]].min(), 1e-12) for r, h in zip(near, homes)]
     return float(np.quantile(ratios, REACH)) + 1e-9
 
@@ -238,12 +221,12 @@ def search(embeddings: DataFrame, step: int = 20, k: int = 20) -> DataFrame:
     chosen = held.where(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * float(1 << 30))
     sample = _lifted(np.array([r["vec"] for r in chosen.select("vec").toLocalIterator()] or [held.first()["vec"]]), largest)
     lists = int(max(1, min(MOST_LISTS, n // LIST_SIZE, len(sample))))
-    graph = Graph(balanced_centroids(sample, lists))
-    ratio = _calibrated(held, queries, graph, largest, k)
+    centroids = Centroids(balanced_centroids(sample, lists))
+    ratio = _calibrated(held, queries, centroids, largest, k)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            homes = _home(graph, _lifted(matrix(batch.column("vec")), largest))
+            homes = _home(centroids, _lifted(matrix(batch.column("vec")), largest))
             rows = np.repeat(np.arange(batch.num_rows), [len(h) for h in homes])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(homes).astype(np.int32) if homes else [], pa.int32()), *(batch.column(c).take(pa.array(rows)) for c in ("vec_id", "vec"))],
@@ -266,7 +249,7 @@ def search(embeddings: DataFrame, step: int = 20, k: int = 20) -> DataFrame:
                     if np.isinf(ratio):
                         read = [np.arange(lists)] * len(own[at : at + 200])
                     else:
-                        d = graph.search(_query(own[at : at + 200]), ratio, 8)
+                        d = centroids.search(_query(own[at : at + 200]), ratio, 8)
                         read = [np.flatnonzero(x <= ratio * x.min()) for x in d]
                     pairs = [(i + at, c, p) for i, cs in enumerate(read) for c in cs.tolist() for p in range(parts[c])]
                     rows, lists_, parts_ = zip(*pairs)

@@ -67,3 +67,13 @@ def test_graph_finds_the_nearest():
     wanted = exact <= 1.2 * exact.min(1, keepdims=True)
     assert np.isfinite(met[wanted]).mean() > 0.97
     assert np.allclose(met[np.isfinite(met)], exact[np.isfinite(met)])
+
+
+def test_centroids_without_clusters_are_all_met():
+    rng = np.random.default_rng(3)
+    centroids = rng.normal(size=(600, 65)) * 0.3
+    asked = rng.normal(size=(200, 65))
+    exact = np.sqrt(((asked[:, None] - centroids) ** 2).sum(2))
+    met = spann.Graph(centroids).search(asked, 1.05, 8)
+    wanted = exact <= 1.05 * exact.min(1, keepdims=True) - 1e-9
+    assert np.isfinite(met[wanted]).all()

@@ -66,6 +66,23 @@ def test_countdown_ignores_predictions_shown_too_far_out(spark):
     assert samples_of(spark, [(2000, 0, 10)]) == {}
 
 
+def test_countdown_takes_the_newest_of_many_and_copies_count_once(spark):
+    # the second, made later, covers 8 to 4 of the first's 15 to 4; both stand twice
+    got = samples_of(spark, [(950, 0, 700), (1010, 500, 760)] * 2)
+    assert sorted(got) == list(range(4, 16)) and [got[m]["error_s"] for m in (15, 9, 8, 4)] == [50, 50, -10, -10]
+
+
+def test_countdown_repeats_rows_only_for_the_minutes_kept(spark):
+    from pyspark.sql.functions import lit
+
+    e = spark.range(1).select(
+        lit(D).alias("service_date"), lit("T").alias("trip_id"), lit(1).alias("stop_sequence"), lit("S").alias("stop_id"), lit("R").alias("route_id"),
+        lit(True).alias("is_timepoint"), lit("weekday").alias("weekday_type"), lit(0).alias("error_s"),
+        *[F.timestamp_seconds(F.col("id")).alias(c) for c in ("scheduled_arrival", "observed_arrival", "predicted_arrival", "predicted_at", "predicted_until")])
+    plan = facts.countdown_samples({"prediction_errors": e})._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "SortAggregate" not in plan and plan.index("Generate") < plan.index("Window")
+
+
 def test_exact_percentiles_equal_the_builtin(spark):
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 7).alias("k"), ((F.col("id") * 7919 % 10007) / 13.0 - 200).alias("v"))

@@ -618,14 +618,18 @@ def rows_vs_arrivals(t: Tables) -> DataFrame:
         pct(F.sum("tt_near"), F.sum("rows")).alias("timetable_same_rows"),
     )
     samples = t["countdown_samples"].filter("in_comparison")
+    # one pass over the samples: the timetable's share on the same arrivals is that of their 15-minute rows
     by_arrival = samples.filter(F.col("ahead_min").isin(*at)).groupBy(F.col("ahead_min").alias("minutes_ahead")).agg(
-        _share(F.abs("error_s") <= 60, 0).alias("countdown_per_arrival")
+        _share(F.abs("error_s") <= 60, 0).alias("countdown_per_arrival"),
+        _share(F.abs("schedule_error_s") <= 60, 0).alias("timetable_share"),
     )
-    same = samples.filter("ahead_min = 15").agg(_share(F.abs("schedule_error_s") <= 60, 0)).scalar()
+    same = F.max(F.when(F.col("minutes_ahead") == 15, F.col("timetable_share"))).over(Window.partitionBy(F.lit(0)))
     everything = scored(t).agg(_share(F.abs("delay_s") <= 60, 0)).scalar()
     return (
-        by_rows.join(by_arrival, "minutes_ahead", "left")
+        by_rows.join(by_arrival, "minutes_ahead", "full")  # five rows at most
         .withColumn("timetable_same_arrivals", same)
+        .filter(F.col("n_rows").isNotNull())
+        .drop("timetable_share")
         .withColumn("timetable_all", everything)
     )
 

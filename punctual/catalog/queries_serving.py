@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctual.catalog.queries import AS_OF, CFG, LIVE, START30, Tables, polls, query
+from punctual.catalog.queries import AS_OF, CFG, LIVE, START30, Tables, polls, query, samples_once
 from punctual.functions.names import clean_headsign, clean_stop_name
 from punctual.functions.timeutil import lit_ts, seconds_between
 from punctual.operators import diagnostics, history, live, neighbours, quality, routes, timetables, visitors
@@ -174,9 +174,9 @@ query("d11_calibration_sample", diagnostics.calibration_sample)
 query("d11_rows_vs_arrivals", diagnostics.rows_vs_arrivals)
 query("d11_values_sent", diagnostics.values_sent)
 query("d12_lateness_check", lambda t: diagnostics.lateness_check(t, AS_OF))
-query("d12_prediction_check", diagnostics.prediction_check)
+query("d12_prediction_check", lambda t: diagnostics.prediction_check(samples_once(t)))
 query("d12_prediction_avg_by_route", diagnostics.prediction_avg_by_route)
-query("d12_report_card_check", lambda t: diagnostics.report_card_check(t, AS_OF))
+query("d12_report_card_check", lambda t: diagnostics.report_card_check(samples_once(t), AS_OF))
 query("d13_outlier_stops", lambda t: diagnostics.outlier_stops(t, AS_OF))
 query("d13_early_by_kind", lambda t: diagnostics.early_by_kind(t, AS_OF))
 query("d13_first_stop_departures", lambda t: diagnostics.first_stop_departures(t, AS_OF))

@@ -327,11 +327,20 @@ def _labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return store(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
 
 
+def _joined(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(node, root)`` of all nodes, where further links join the groups: only their roots are looked at."""
+    of = lambda end, name: roots.select(F.col("node").alias(end), F.col("root").alias(name))
+    between = links.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y").select(*_pair("x", "y"))
+    tops = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return store(roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+
 def _proposed(prints: DataFrame) -> DataFrame:
     """Pairs of nodes that SimHash links, or whose fingerprints are equal."""
     of = store(prints.select("print", F.col("fp").alias("node")).distinct(), "of")
     first = store(of.groupBy("print").agg(F.min("node").alias("first")), "first")
-    linked = simhash.links(first.select(F.col("print").alias("fp")))
+    # a pair may meet in many of the index's lists
+    linked = simhash.links(first.select(F.col("print").alias("fp"))).distinct()
     ends = linked.join(first.select(F.col("print").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("print").alias("b"), F.col("first").alias("y")), "b")
     return ends.select("x", "y").union(of.join(first, "print").select(F.col("first").alias("x"), F.col("node").alias("y")))
 
@@ -376,9 +385,8 @@ def members(docs: DataFrame, prints: DataFrame, width: int, least: float) -> Dat
     for spanning in (True, False):
         met = _across(docs, nodes, shared, roots, width, least, spanning)
         rest = store(met.join(pairs, ["a", "b"], "left_anti"), "rest")
-        more, past = store(links.union(_linked(docs, nodes, rest, width, least)), "linked"), (links, pairs, roots, met, rest)
-        links, pairs = more, store(pairs.union(rest), "pairs")
-        roots = _labels(links, nodes)
+        more, past = _linked(docs, nodes, rest, width, least), (links, pairs, roots, met, rest)
+        links, pairs, roots = more, store(pairs.union(rest), "pairs"), _joined(more, roots)
         release(*past)
     release(shared, pairs, nodes)
     return roots.withColumnRenamed("node", "fp")

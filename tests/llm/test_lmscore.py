@@ -2,10 +2,12 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from punctual.llm import lmscore
@@ -77,6 +79,50 @@ def test_frequent_symbols_add_up_to_one():
     assert np.exp(logs).sum() == pytest.approx(1)
 
 
+def test_counts_of_symbols_give_counts_of_bits():
+    for names, texts in ((["a", "b", "c", "dd", "ee"], ["a b a zz", "", "c dd ee a B", "zz zz a"]), ([], ["", "new"])):
+        code = lmscore.Code(names, list(range(len(names) + 1, 1, -1)), 3, len(texts))
+        symbols, before, *_ = code.symbols(pa.array(texts))
+        plain = [np.zeros((2, n), np.int64) for n in code.tables()[: lmscore.CONTEXTS + 1]]
+        for _, _, bit, _, slots in code.bits(symbols, before):
+            for table, slot in zip(plain, slots):
+                np.add.at(table, (bit, slot), 1)
+        told = [code.by_node(np.bincount(symbols, minlength=len(names) + 2))]
+        told += [code.by_node(np.bincount(symbols * lmscore.CLASSES + k, minlength=(len(names) + 2) * lmscore.CLASSES)) for k in before]
+        assert all(np.array_equal(a, b) for a, b in zip(plain, told, strict=True))
+
+
+def test_equal_tokens_are_scored_alike():
+    code = lmscore.Code([f"w{i}" for i in range(40)], list(range(100, 60, -1)), 30, 9)
+    rng = np.random.default_rng(1)
+    stretched = [rng.normal(size=n).astype(np.float32) for n in code.tables()[: lmscore.CONTEXTS + 1]]
+    trusts, mixer = rng.integers(0, lmscore.TRUSTS, len(stretched[1])), lmscore.Mixer(rng.normal(size=(lmscore.GATES, lmscore.CONTEXTS + 1)))
+    symbols, before, *_ = code.symbols(pa.array([" ".join(f"w{i}" for i in rng.integers(0, 45, n)) for n in (300, 0, 5, 300)] * 2))
+    got = lmscore.mixed_scores(code, symbols, before, stretched, trusts, mixer)
+    for t in range(0, len(symbols), 7):  # each by itself
+        [(_, _, bit, depth, slots)] = code.bits(symbols[t : t + 1], before[:, t : t + 1])
+        slots = list(slots)
+        gate = depth * lmscore.TRUSTS + trusts[slots[1]]
+        p = mixer.refined(gate, mixer.mixed(gate, np.stack([s[slot] for s, slot in zip(stretched, slots)])))
+        assert got[t] == pytest.approx(np.log10(np.where(bit == 1, p, 1 - p)).sum(), rel=1e-5)
+
+
+def test_rare_words_take_little_memory():
+    code = lmscore.Code(["the"], [9], 9, 9)
+    spelling = lmscore.Spelling([np.ones(n * lmscore.LETTERS, np.float32) for n in lmscore.SPELL_SLOTS])
+    text = " ".join(f"x{i} x{i} the" for i in range(2000))
+    symbols, _, offsets, codes, names = code.symbols(pa.array([text, None, "the"] + [text] * 149))
+    tracemalloc.start()
+    rare = lmscore.rare_words(code, symbols, offsets, codes, names, spelling)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 300_000  # bytes a row
+    assert [len(r) for r in (rare[0], rare[1], rare[2], rare[151])] == [2000, 0, 0, 2000]
+    rows = rare[0].as_py()
+    assert {(r["word"], r["n"]) for r in rows} == {(f"x{i}", 2) for i in range(2000)} and rare[151].as_py() == rows
+    assert [r["spelled"] for r in rows] == pytest.approx(spelling.of([r["word"] for r in rows]).tolist())
+
+
 def test_spelling_adds_up_to_one():
     counts = [np.zeros(n * lmscore.LETTERS, np.float32) for n in lmscore.SPELL_SLOTS]
     for table, slots in zip(counts, lmscore._spelling_slots(["abba", "", "é"])[0]):

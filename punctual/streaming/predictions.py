@@ -6,7 +6,9 @@ from collections.abc import Iterator
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,11 +45,16 @@ def counts(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes", a
     )
 
 
-STATE = "told string, first_us long, last_us long, first_fetch long, carried long"
+#: A bucket's keys and the values they assert, as one Arrow table (``HELD``).
+STATE = "held binary"
+HELD = pa.schema([("key", pa.string()), ("told", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("fetch", pa.int64()),
+                  ("carried", pa.int64()), ("until", pa.int64())])
+KEY_TYPES = "trip_id string, start_date date, stop_sequence int"
 CLOSED = (
-    "trip_id string, start_date date, stop_sequence int, told string, first_seen_us long, last_seen_us long, "
+    f"{KEY_TYPES}, told string, first_seen_us long, last_seen_us long, "
     "first_fetch_id long, scheduled_us long, closed_us long"
 )
+_CLOSED_RUN = "key string, " + CLOSED.removeprefix(f"{KEY_TYPES}, ")
 
 
 def encode(snapshots: DataFrame, value: list[str]) -> DataFrame:
@@ -61,58 +68,115 @@ def encode(snapshots: DataFrame, value: list[str]) -> DataFrame:
     )
 
 
-def change_only(snapshots: DataFrame, idle: str | None = None) -> DataFrame:
+def change_only(snapshots: DataFrame, idle: int | None = None, buckets: int = 1024) -> DataFrame:
     """Closed prediction intervals as they close, from a stream of ``encode``d snapshots.
 
     State per trip's stop: the value being asserted and since when. A message not newer than the last
     one the key took is ignored, whatever order messages arrive in. An interval is emitted when a
-    different value replaces it; with ``idle``, also when the key has been silent that long (its trip
+    different value replaces it; with ``idle``, also when the key has been silent that many milliseconds (its trip
     is over), which frees the state. Within a trigger all rows of a key (one stop of one trip) are put in
     header order, whatever pieces they come in; ``store_intervals`` does the same on plain tables, keeps
-    the current half too, and splits a key of any length."""
-
-    def step(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        trip, day, seq = key
-        out = []
-
-        def close(s: tuple, at) -> None:
-            told, first, last, fetch, carried = s
-            out.append((trip, day, seq, told, first, last, fetch, carried, at))
-
-        if state.hasTimedOut:
-            close(state.get, None)
-            state.remove()
-            yield _frame(out)
-            return
-        current = state.get if state.exists else None
-        piece = pd.concat(list(pieces)).sort_values(["header_us", "fetch_id"], kind="stable")
-        for told, header, carried, fetch in zip(
-            piece["told"], piece["header_us"], piece["scheduled_us"], piece["fetch_id"]
-        ):
-            header, fetch = int(header), int(fetch)
-            carried = None if pd.isna(carried) else int(carried)
-            if current is None:
-                current = (told, header, header, fetch, carried)
-            elif header > current[2]:
-                if told == current[0]:
-                    current = (told, current[1], header, current[3], carried)
-                else:
-                    close(current, header)
-                    current = (told, header, header, fetch, carried)
-        if current is not None:
-            state.update(current)
+    the current half too, and splits a key of any length.
+
+    Keys are many and most have a row or two a trigger, so they are not called one by one: a hash deals them to
+    ``buckets`` groups, whose keys advance together as columns and share one row of state. The number of buckets
+    belongs to a stream's checkpoint."""
+    key = F.to_json(F.struct(*KEY), {"ignoreNullFields": "false"})
+
+    def step(_: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = _held(state.get[0]) if state.exists else HELD.empty_table().to_pandas()
+        now = state.getCurrentProcessingTimeMs() if idle else 0
+        new = None if state.hasTimedOut else pd.concat(list(pieces), ignore_index=True)
+        closed, held = _advance(held, new, now, idle)
+        if len(held):
+            state.update((_packed(held),))
             if idle:
-                state.setTimeoutDuration(idle)
-        if out:
-            yield _frame(out)
-
-    return snapshots.groupBy(*KEY).applyInPandasWithState(
-        step,
-        CLOSED,
-        STATE,
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout,
-    )
+                state.setTimeoutDuration(max(1, int(held["until"].min()) - now))
+        elif state.exists:
+            state.remove()
+        if len(closed):
+            yield closed
+
+    runs = (
+        snapshots.select(F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int").alias("bucket"), key.alias("key"),
+                         "told", "header_us", "scheduled_us", "fetch_id")
+        .groupBy("bucket")
+        .applyInPandasWithState(
+            step,
+            _CLOSED_RUN,
+            STATE,
+            "append",
+            GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout,
+        )
+    )
+    return runs.select(F.from_json("key", KEY_TYPES).alias("k"), "*").select("k.*", *[c for c in runs.columns if c != "key"])
+
+
+def _held(packed: bytes) -> pd.DataFrame:
+    table = pa.ipc.open_stream(pa.py_buffer(bytes(packed))).read_all()
+    return table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get).astype({"first": "int64", "last": "int64", "fetch": "int64", "until": "int64"})
+
+
+def _packed(held: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.Table.from_pandas(held, HELD, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _advance(held: pd.DataFrame, new: pd.DataFrame | None, now: int, idle: int | None) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Closed runs and the values held after a trigger's rows of a bucket (None: none came, some keys' time is up).
+
+    What a key holds is put in front of its newer rows in header order; a run is a stretch of one value, and all of
+    a key's runs but the last are closed by the run after them."""
+    n = len(held)
+    if new is None:
+        new = pd.DataFrame({"key": [], "told": [], "header_us": [], "scheduled_us": [], "fetch_id": []})
+    codes, keys = pd.factorize(np.concatenate([held["key"].to_numpy(object), new["key"].to_numpy(object)]))
+    last = np.full(len(keys), np.iinfo(np.int64).min)
+    last[codes[:n]] = held["last"]
+    heard = np.zeros(len(keys), bool)
+    heard[codes[n:]] = True
+    header, fetch = new["header_us"].to_numpy("int64"), new["fetch_id"].to_numpy("int64")
+    newer = np.flatnonzero(header > last[codes[n:]])
+    newer = newer[np.lexsort((fetch[newer], header[newer], codes[n:][newer]))]
+    code, at = codes[n:][newer], header[newer]
+    first_told = np.ones(len(newer), bool)  # of rows with the same header the one of the smallest id is taken
+    first_told[1:] = (code[1:] != code[:-1]) | (at[1:] != at[:-1])
+    newer = newer[first_told]
+    carried = pd.concat([held["carried"].astype("Int64"), new["scheduled_us"].iloc[newer].astype("Int64")], ignore_index=True)
+    rows = pd.DataFrame({
+        "code": np.concatenate([codes[:n], codes[n:][newer]]),
+        "told": np.concatenate([held["told"].to_numpy(object), new["told"].to_numpy(object)[newer]]),
+        "first": np.concatenate([held["first"].to_numpy("int64"), header[newer]]),
+        "last": np.concatenate([held["last"].to_numpy("int64"), header[newer]]),
+        "fetch": np.concatenate([held["fetch"].to_numpy("int64"), fetch[newer]]),
+    })
+    rows["carried"] = carried
+    rows = rows.iloc[np.argsort(rows["code"].to_numpy(), kind="stable")]
+    code, told = rows["code"].to_numpy(), rows["told"].to_numpy(object)
+    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (told[1:] != told[:-1])]) if len(rows) else np.zeros(0, int)
+    ends = np.r_[starts[1:], len(rows)].astype(int) - 1
+    runs = pd.DataFrame({
+        "key": keys[code[starts]], "told": told[starts], "first": rows["first"].to_numpy()[starts], "last": rows["last"].to_numpy()[ends],
+        "fetch": rows["fetch"].to_numpy()[starts],
+    })
+    runs["carried"] = rows["carried"].iloc[ends].array
+    final = np.r_[code[starts][1:] != code[starts][:-1], True] if len(runs) else np.zeros(0, bool)
+    closes = pd.Series(np.r_[runs["first"].to_numpy()[1:], 0][: len(runs)]).astype("Int64")
+    current = runs[final].copy()
+    owner = code[starts][final]
+    current["until"] = 0
+    over = np.zeros(len(current), bool)
+    if idle:
+        until = np.zeros(len(keys), np.int64)
+        until[codes[:n]] = held["until"]
+        until[heard] = now + idle
+        current["until"] = until[owner]
+        over = ~heard[owner] & (current["until"].to_numpy() <= now)
+    closed = pd.concat([runs[~final].assign(closed=closes[~final]), current[over].drop(columns="until").assign(closed=pd.array([pd.NA] * int(over.sum()), "Int64"))])
+    closed.columns = [c.split()[0] for c in _CLOSED_RUN.split(", ")]
+    return closed, current[~over]
 
 
 def day_over(stale_days: int) -> Column:
@@ -216,12 +280,6 @@ def store_intervals(stream: DataFrame, folder: str, checkpoint: str, schema: str
     return store
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in CLOSED.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"scheduled_us": "Int64", "closed_us": "Int64"})
-
-
 def decode(closed: DataFrame, value_ddl: str) -> DataFrame:
     """Closed intervals with the value's columns and proper timestamps again."""
     moment = lambda c: F.timestamp_micros(F.col(c))

@@ -149,3 +149,58 @@ def test_percentile_of_a_value_with_most_rows(spark):
     expected = df.groupBy("k").agg(F.count("v").alias("n"), *[F.percentile("v", F.lit(q)).alias(n) for n, q in shares.items()])
     got = exact_percentiles(df, ["k"], "v", shares)
     assert [[round(x, 9) for x in r] for r in rows(got, "k")] == [[round(x, 9) for x in r] for r in rows(expected, "k")]
+
+
+def test_stream_keeps_a_state_for_a_bucket_of_keys(spark, tmp_path):
+    schema = "trip_id string, start_date date, stop_sequence int, told string, header_us long, scheduled_us long, fetch_id long"
+    polls = [[(f"t{k}" if k else None, DAY if k % 3 else None, k % 4, f"v{k % 5 if poll else 0}", poll * 10**6, None if k % 2 else k, poll * 1000 + k)
+              for k in range(300)] for poll in range(2)]
+    for poll in polls:
+        spark.createDataFrame(poll, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        told = streaming.change_only(source, buckets=8).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        query = told.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        assert 0 < query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 8
+    expected = [(*r[:4], 0, 0, r[6], r[5], 10**6) for r in polls[0] if r[3] != polls[1][r[6]][3]]
+    assert rows(spark.read.schema(streaming.CLOSED).parquet(str(tmp_path / "out"))) == sorted(expected, key=repr)
+
+
+def test_keys_silent_too_long_close_and_leave():
+    import pandas as pd
+
+    new = lambda *r: pd.DataFrame(r, columns=["key", "told", "header_us", "scheduled_us", "fetch_id"])
+    _, held = streaming._advance(streaming.HELD.empty_table().to_pandas(), new(("a", "x", 1, None, 1), ("b", "x", 2, 5, 2)), now=100, idle=50)
+    closed, held = streaming._advance(held, new(("a", "x", 0, None, 3)), now=140, idle=50)  # nothing new, but it was heard of
+    assert closed.empty and dict(zip(held["key"], held["until"])) == {"a": 190, "b": 150}
+    closed, held = streaming._advance(held, None, now=150, idle=50)
+    assert [tuple(None if pd.isna(v) else v for v in r) for r in closed.itertuples(index=False)] == [("b", "x", 2, 2, 2, 5, None)]
+    closed, held = streaming._advance(held, new(("b", "y", 9, None, 4)), now=200, idle=50)  # a's time is up beside b's new start
+    assert list(closed["key"]) == ["a"] and list(held["key"]) == ["b"]
+    assert streaming._advance(held, None, now=250, idle=50)[1].empty
+
+
+def test_bucket_advances_all_its_keys_as_one_by_one(spark):
+    import random
+
+    import pandas as pd
+
+    rnd = random.Random(5)
+    held, state, out, slow = streaming.HELD.empty_table().to_pandas(), {}, [], []
+    for hour in range(6):
+        came = [(rnd.choice("abcdef"), rnd.choice("xyz"), hour * 40 + rnd.randrange(60), rnd.choice([None, 7, 9]), rnd.randrange(1000)) for _ in range(25)]
+        new = pd.DataFrame(came, columns=["key", "told", "header_us", "scheduled_us", "fetch_id"])
+        closed, held = streaming._advance(held, new, 0, None)
+        held = streaming._held(streaming._packed(held))
+        out += [tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in r) for r in closed.itertuples(index=False)]
+        for key, told, at, due, fetch in sorted(came, key=lambda r: (r[2], r[4])):
+            s = state.get(key)
+            if s is None or (at > s[2] and told != s[0]):
+                if s:
+                    slow.append((key, s[0], s[1], s[2], s[3], s[4], at))
+                state[key] = (told, at, at, fetch, due)
+            elif at > s[2]:
+                state[key] = (told, s[1], at, s[3], due)
+    assert sorted(out, key=repr) == sorted(slow, key=repr) and len(out) > 30
+    left = {r.key: (r.told, r.first, r.last, r.fetch, None if pd.isna(r.carried) else r.carried) for r in held.itertuples()}
+    assert left == state

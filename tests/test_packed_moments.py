@@ -58,3 +58,25 @@ def test_predictions_are_shuffled_as_distances(spark, tables):
     plan = facts.prediction_errors(tables)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join Inner"):]
     assert "stood_us" in below and "last_seen_at" not in below.split("Union")[0]
+
+
+def test_settled_times_are_those_last_told(spark):
+    got = arrivals.feed_settled_times(made(spark))
+    order = lambda p: tuple((t is not None, t or T) for t in (p[10], p[11]))
+    expected = []
+    for key in {p[:3] for p in CURRENT + HISTORY}:
+        p = max((p for p in CURRENT + HISTORY if p[:3] == key and (p[4] or p[5])), key=order, default=None)
+        if p:
+            predicted, last = p[4] or p[5], p[11]
+            held = None if last is None else round((last - predicted).total_seconds(), 6)
+            expected.append((p[0], p[1], p[2], p[3], predicted.timestamp(), p[9] and p[9].timestamp(), p[8] == 1, None if held is None else held >= 0, held))
+    columns = [F.unix_micros(c) / 1e6 if c in ("settled_time", "feed_scheduled_time") else F.col(c) for c in got.columns]
+    assert rows(got.select(*columns)) == sorted(expected, key=repr) and len(expected) == 6
+    assert got.filter("trip_id = 'c'").first()["held_after_s"] == -37  # of two first seen nobody knows when, the last seen
+
+
+def test_moments_of_an_event_are_shuffled_as_distances_and_whole_events_once(spark, tables):
+    plan = arrivals.feed_settled_times(tables)._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" not in plan and "partial_max(" in plan
+    joined = facts.stop_events(tables, datetime(2024, 1, 28, 20, 0, tzinfo=timezone.utc))._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("strategy=broadcast") == 2

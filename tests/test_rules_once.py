@@ -47,3 +47,14 @@ def test_shuffles_are_freed_and_the_setting_comes_back(spark):
     with shuffles_freed(spark):
         assert spark.conf.get(name) == "true"
     assert spark.conf.get(name, None) == before
+
+
+def test_a_build_frees_the_shuffles_of_each_step(spark, tables, monkeypatch, tmp_path):
+    from punctual.catalog.queries import AS_OF
+    from punctual.plans.pipeline import Build
+
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    monkeypatch.setattr(Build, "_write", lambda self, step, *_: seen.append((step, self.spark.conf.get(name))))
+    before = spark.conf.get(name, None)
+    Build(spark, str(tmp_path), tables, AS_OF).run(only={"shape_lines", "stop_events"})
+    assert seen == [("shape_lines", "true"), ("stop_events", "true")] and spark.conf.get(name, None) == before

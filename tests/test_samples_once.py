@@ -20,3 +20,12 @@ def test_all_samples_in_comparison_are_kept(spark, tables):
     kept = queries.samples_once(queries.Tables(spark, SMALL))["countdown_samples"]
     assert kept.dtypes == samples.dtypes and kept.count() == samples.count() > 0
     assert kept.exceptAll(samples).isEmpty()
+
+
+def test_the_samples_shuffles_are_freed_when_they_are_written(spark, monkeypatch):
+    seen, writer = [], type(spark.range(1).write)
+    write = writer.parquet
+    watched = lambda self, *a, **b: (seen.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)), write(self, *a, **b))
+    monkeypatch.setattr(writer, "parquet", watched)
+    queries.samples_once(queries.Tables(spark, SMALL))
+    assert seen == ["true"]
